@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docspark.llm.byte_bpe import encoded
+from docspark.llm.decontam import contamination
+from docspark.llm.line_dedup import dedup_lines
 from docspark.llm.near_dup import near_duplicates
+from docspark.llm.syncmers import edited_likeness
+from docspark.llm.token_files import id_digests, write_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +21,47 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encoded(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_digests(write_ids(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
+
+
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontamination": op3_decontamination,
+    "op5_token_files": op5_token_files,
+    "op6_syncmers": op6_syncmers,
+    "op8_line_dedup": op8_line_dedup,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
 
