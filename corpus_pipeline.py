@@ -1,8 +1,86 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: quality classifier, line dedup, MinHash near-dedup, benchmark decontamination, byte-level BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
+columns of documents, with n_chars as the length of the text that is left. A null doc_id passes through: such rows are
+judged by their texts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docspark.llm.byte_bpe import encoded
+from docspark.llm.common import new_folder, small, with_row_key, written
+from docspark.llm.decontam import contamination
+from docspark.llm.line_dedup import dedup_lines
+from docspark.llm.near_dup import near_duplicates
+from docspark.llm.quality import keep_good
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents of which nothing is left."""
+    out = dedup_lines(docs.select(COLUMNS))
+    kept = out.where("n_dropped = 0 OR trim(BOTH FROM replace(text, '\n', ' ')) <> ''")
+    return kept.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id; five-word shingles, similarity 0.8."""
+    docs = docs.select(COLUMNS)
+    gone = written(near_duplicates(docs, size=5, percent=80).where("NOT kept AND n_shingles > 0").select("doc_id", "component_id"), "gone")
+    # of rows that share an id only the first in order of text stays where its group keeps that id
+    rest = docs.join(small(gone.select("doc_id").dropna().distinct()), "doc_id", "left_anti").select(COLUMNS)
+    keyed = with_row_key(rest)
+    repeated = written(keyed.groupBy("_id", "_h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if not repeated.take(1):
+        return rest
+    once = keyed.join(small(repeated), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+    return keyed.join(small(repeated), ["_id", "_h"], "left_anti").unionByName(once).select(COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark passage go."""
+    docs = docs.select(COLUMNS)
+    marks = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = small(written(marks.where("contaminated").select("doc_id").distinct(), "contaminated"))
+    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti").select(COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    return encoded(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("byte-level bpe", encode),
+]
+
+#: SQL can't express the classifier, the signatures and the merges: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            path = new_folder(spark, f"stage{k}")
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+    return docs
