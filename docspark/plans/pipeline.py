@@ -55,7 +55,7 @@ def aggregate(df: DataFrame, pipeline: list[dict], collections: Collections | No
     """The result of a pipeline; collections are the other DataFrames that its stages may name."""
     if order_by:
         df = df.withColumn(ORDER, F.struct(*[F.col(c) for c in order_by]))
-    return shown(run(Flow(df, collections or {}, {}), pipeline).df)
+    return shown(run(Flow(df, {} if collections is None else collections, {}), pipeline).df)
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def project(flow: Flow, spec: Any) -> Flow:
     own = {p: f for p, f in flags.items() if p != "_id"}
     if own and not all(own.values()) and (any(own.values()) or computed):
         raise BadValue("$project keeps or leaves out")
-    if not computed and not any(own.values()):
+    if not computed and not any(own.values()) and (own or not flags["_id"]):
         return unset(flow, [p for p, f in flags.items() if not f])
     scope, tree = flow.scope, {}
     wanted = ["_id"] if flags.get("_id", True) and "_id" in flow.df.columns else []
