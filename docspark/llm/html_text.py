@@ -153,13 +153,13 @@ EXAMPLES = [
 -<div id="sidebar"><h3>Most read</h3><ul><li><a href=x>Ten ways to cook an egg that you have not tried</a></li><li><a href=x>Why salt</a></li></ul></div>
 -<section class="comments"><h3>Comments</h3><p>I tried this last week and my whole family liked it very much, thank you for writing it down.</p><p>Nice.</p></section>
 -<form><p>Leave your name and your address to get our letter every week.</p></form><footer><a href=x>Imprint</a> <a href=x>Contact</a></footer>
--<div class="legal"><p>All texts on these pages were written with great care, but we can't promise that they are right, whole or up to date, and we don't answer for the pages of others to which ours lead.</p></div>""",
+-<div class="legal"><p>All texts on these pages were written with great care, but we can't promise that they are right, whole or up to date, and we don't answer for the pages of others to which ours lead; whoever uses them does so at their own risk, and the law of the place in which we have our seat holds for all that follows from it, unless a judge decides that another one must be applied.</p></div>""",
     """-<body><table><tr><td><a href=x>Start</a></td><td><a href=x>Archive</a></td><td><a href=x>Links</a></td></tr></table>
 +<h1>A walk in the hills</h1><p>We left the house before the sun was up and took the path that leads along the stream to the upper meadows, where the cows stay all summer and where, so my father used to say, the grass tastes of salt because the sea once stood there, long before there were any people to see it.</p>
 +<p>After an hour we came to the hut and sat down on the bench before it to eat what we had brought with us.</p>
 +<p>From there one sees the whole valley, the two lakes and, if the air is clear, even the towers of the city far away in the south.</p>
 -<p><a href=x>Older</a> <a href=x>Newer</a></p><p>Powered by <a href=x>Pages</a></p>
--<div id="comments"><p>We took the same path two weeks ago with our three children and were surprised how easy it was for them, though the last part before the hut is rather steep and wet after rain.</p><p>Lovely.</p></div>
+-<div id="comments"><p>We took the same path two weeks ago with our three children and were surprised how easy it was for them, though the last part before the hut is rather steep and wet after rain, so that one should take good shoes and a stick, and leave early enough to be back before the storms that come in from the west on most summer days at about four.</p><p>Lovely.</p></div>
 -<div class="related"><p>Last year we walked around the two lakes, from the mill to the old church and back on the other side, which takes about five hours if one does not stop too often on the way.</p></div>
 -<p>Copyright by the authors</p>""",
     """-<body><div class="menu"><a href=x>Shop</a> <a href=x>Help</a></div><div class="breadcrumb"><a href=x>Home</a> / <a href=x>Garden</a></div>
