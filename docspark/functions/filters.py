@@ -178,7 +178,7 @@ def _type_test(operand: Any, _: dict) -> Test:
         raise BadValue(f"unknown type {operand!r}")
 
     def own(kind: T.DataType) -> bool:
-        return type_rank(kind) == 2 if code == 0 else _TYPES[{"binData": "regex"}.get(type_name(kind), type_name(kind))] == code and not isinstance(kind, T.BinaryType)
+        return type_rank(kind) == 2 if code == 0 else _TYPES.get(type_name(kind)) == code
 
     def build(column: Column, kind: T.DataType) -> Column:
         if code == 10:
