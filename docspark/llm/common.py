@@ -2,45 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.sources.tables import shared_dir, written
+
+__all__ = ["new_folder", "shared_dir", "small", "with_row_key", "written"]
 #: Rows up to which a narrow lookup table (a few dozen bytes a row) is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-docspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docspark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors, has known size."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table, marked for broadcast only if it has at most so many rows; else Spark picks a shuffle join."""
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def text_of(df: DataFrame, column: str = "text") -> Column:
-    return F.coalesce(df[column], F.lit(""))
-
-
 def with_row_key(df: DataFrame) -> DataFrame:
     """Adds _id and _h, a null-free key of (doc_id, text); rows equal in both share it and all their results."""
     return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": F.xxhash64("text")})

@@ -166,7 +166,7 @@ class PieceTokenizer:
 
 def write_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Writes the files. The key table: shard, path, doc_id, _id, _h, copy."""
-    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "ids")
+    folder = new_folder(docs.sparkSession, "ids")
     rows = docs.count()
     n = max(1, min(rows, max(32, rows // DOCS_PER_SHARD)))
     docs = with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("text", F.coalesce("text", F.lit("")))
@@ -200,7 +200,6 @@ def write_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             with fs.open_output_stream(at + ".idx") as out:
                 out.write(index_bytes(np.concatenate(kept), np.array(lengths, np.int64)))
 
-    del spark
     return written(dealt.mapInPandas(run, "shard int, path string, doc_id long, _id long, _h long, copy long"), "keys")
 
 
