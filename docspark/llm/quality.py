@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [word_terms(t) for t in batch["text"]]
-            yield pd.DataFrame({"term": [t for s in sets for t in s], "toxic": np.repeat(batch["toxic"].to_numpy(np.int64), [len(s) for s in sets])})
+            yield pd.DataFrame({"term": pd.Series([t for s in sets for t in s], dtype=object), "toxic": np.repeat(batch["toxic"].to_numpy(np.int64), [len(s) for s in sets])})
 
     totals = sample.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).collect()[0]
     bad, good = int(totals.t or 0), int(totals.n) - int(totals.t or 0)

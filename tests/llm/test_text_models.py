@@ -85,7 +85,7 @@ def test_field_learns():
     tagged = [(a, b) for run, tags in data[600:] for a, b in zip(field.decode(run), tags, strict=True)]
     assert sum((a > 0) == (b > 0) for a, b in tagged) / len(tagged) > 0.98
     # a key that no fixed pattern finds
-    text = f"the secret is {token('0123456789abcdef', 20)} here"
+    text = f"our token is: {token('0123456789abcdef', 20)} here"
     assert base_spans(text) == [] and field.decode([f for _, _, f in runs(text)[0]])[0] == 1
 
 
@@ -129,7 +129,7 @@ def test_url_filter(spark):
     captures = [("http://a.x.org/1", day(2024, 1, 1)), ("http://a.x.org/1", day(2024, 1, 2)), ("http://A.x.org:80/ok/1?q#f", day(2024, 1, 3)), ("http://a.x.org", day(2024, 1, 6)), ("http://y.org/", day(2024, 1, 6)), (None, day(2024, 1, 6)), ("http://a.x.org/1", None), ("http://a.x.org/1", day(2024, 1, 2))]
     got = url_filter.decide(spark.createDataFrame(captures, "url string, fetch_time timestamp"), spark.createDataFrame(entries, "kind string, pattern string, action string, since timestamp")).collect()
     key = lambda r: (r.url or "", r.fetch_time or day(1, 1, 1))
-    assert [(r.kept, r.kind) for r in sorted(got, key=key)] == [(True, None), (False, "domain"), (True, None), (True, None), (False, "host"), (False, "host"), (True, "prefix"), (True, None)]
+    assert [(r.kept, r.kind) for r in sorted(got, key=key)] == [(True, None), (True, "prefix"), (False, "domain"), (True, None), (True, None), (False, "host"), (False, "host"), (True, None)]
     assert url_filter.decide(spark.createDataFrame([], "url string, fetch_time timestamp"), spark.createDataFrame([], "kind string, pattern string, action string, since timestamp")).count() == 0
 
 
