@@ -1,6 +1,6 @@
 """Line dedup by a deletion-neighbourhood join (DataFrame operations only).
 
-A line is the sequence of its words, split at white space. Edits are counted in words: a line's neighbourhood is
+A line is the sequence of its words, split at spaces. Edits are counted in words: a line's neighbourhood is
 itself and the line without any one of its words, as hashed keys. Two lines within one edit share a key:
   - a word replaced: both without the word at that place, so the key holds the place too;
   - a word inserted: the shorter line is the longer one without that word.
@@ -30,49 +30,62 @@ NEAR_WORDS = 10
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_id, _h, line, w (its words), k1, k2 for the lines of MIN_WORDS or more words."""
-    lines = docs.select("_id", "_h", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
-    lines = lines.select("_id", "_h", "line", F.array_remove(F.split("t", r"\s+"), "").alias("w")).where(f"size(w) >= {MIN_WORDS}")
-    return lines.withColumns({"k1": F.xxhash64("w"), "k2": F.xxhash64(F.lit(1), F.col("w"))})
+    """_id, _h, line (its number), t (its text)."""
+    return docs.select("_id", "_h", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+
+
+def _words() -> Column:
+    return F.array_remove(F.split("t", " "), "")
 
 
 def _halves() -> Column:
     """Keys of the halves that a partner as long as the line or longer, and one that is a word shorter, shares with it."""
-    parts = [f"xxhash64({m}, 0, slice(w, 1, int(({m}) / 2))), xxhash64({m}, 1, slice(w, -(({m}) - int(({m}) / 2)), {m}))" for m in ("size(w)", "size(w) - 1")]
-    return F.expr(f"array({', '.join(parts)})")
+    parts = [f"xxhash64(0, slice(w, 1, int(({m}) / 2))), xxhash64(1, slice(w, -(({m}) - int(({m}) / 2)), {m}))" for m in ("size(w)", "size(w) - 1")]
+    return F.expr(f"array_distinct(array({', '.join(parts)}))")
 
 
 def _without(words: str, place: str) -> str:
     return f"concat(slice({words}, 1, {place}), slice({words}, {place} + 2, size({words})))"
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """k1, k2, first (the earliest place of the class) and partner (the earliest place of a class within one edit that stands earlier, or null)."""
-    lines = _lines(docs.dropDuplicates(["_id", "_h"]))
-    place = F.struct("_id", "_h", "line")
-    long = lines.where(f"size(w) >= {NEAR_WORDS}")
-    halves = long.select("k1", "k2", F.explode(F.array_distinct(_halves())).alias("half")).distinct()
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    open_ = written(halves.join(written(shared, "halves"), "half", "left_semi").select("k1", "k2").distinct(), "openclasses")
-    classes = written(lines.groupBy("k1", "k2").agg(F.min(place).alias("first")), "classes")
-    # the words of a class, from the one line that is its first
-    texts = long.select("k1", "k2", "w", place.alias("first")).join(small(open_, 4_000_000), ["k1", "k2"], "left_semi")
-    texts = written(texts.dropDuplicates(["k1", "k2"]).drop("first").join(classes, ["k1", "k2"]), "openlines")
+def line_keys(docs: DataFrame) -> DataFrame:
+    """_id, _h, line, k1, k2, halves (null for lines too short to have a partner) of the lines of MIN_WORDS or more
+    words, as a written table."""
+    lines = _lines(docs).select("_id", "_h", "line", _words().alias("w")).where(f"size(w) >= {MIN_WORDS}")
+    keys = lines.select("_id", "_h", "line", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= NEAR_WORDS, _halves()).alias("halves"))
+    return written(keys, "linekeys")
+
+
+def line_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """k1, k2, first (the earliest place of the class), partner (the earliest place of a class within one edit that
+    stands earlier, or null) of the classes from which lines go: those of several lines, and those with a partner."""
+    halves = keys.where("halves IS NOT NULL").select("k1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("half")
+    open_ = small(written(halves.join(small(written(shared, "halves"), 1_000_000), "half", "left_semi").select("k1").distinct(), "openkeys"), 1_000_000)
+    classes = keys.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_h", "line")).alias("first"), F.count("*").alias("n"))
+    classes = classes.join(open_.withColumn("open", F.lit(True)), "k1", "left").where("n > 1 OR open")
+    classes = written(classes, "classes")
+
+    # the words of an open class, from the line that is its first
+    firsts = small(written(classes.where("open").select("first._id", "first._h", "first.line"), "firsts"), 500_000)
+    texts = _lines(docs).join(firsts, ["_id", "_h", "line"], "left_semi").dropDuplicates(["_id", "_h", "line"])
+    texts = texts.select(F.struct("_id", "_h", "line").alias("first"), _words().alias("w")).where(f"size(w) >= {NEAR_WORDS}")
+    texts = written(texts, "openlines")
 
+    # the neighbourhoods: only their grouped minima are shuffled
     spots = F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("spot")
-    cut = texts.select("k1", "k2", "first", "w", spots).select("k1", "k2", "first", "spot", F.expr(f"xxhash64({_without('w', 'spot')}) AS v"))
-    cut = written(cut, "variants")
-    whole = texts.select("k1", "k2", "first", F.xxhash64("w").alias("v"))
-    replaced = cut.join(cut.groupBy("v", "spot").agg(F.min("first").alias("other"), F.count("*").alias("n")).where("n > 1").drop("n"), ["v", "spot"])
-    shorter = cut.join(whole.select("v", F.col("first").alias("other")), "v")
-    longer = whole.join(cut.groupBy("v").agg(F.min("first").alias("other")), "v").withColumn("spot", F.lit(None).cast("int"))
-    columns = ["k1", "k2", "first", "spot", "other"]
-    pairs = replaced.select(columns).union(shorter.select(columns)).union(longer.select(columns)).where("other < first")
-    pairs = pairs.select("k1", "k2", "first", "other").distinct()
+    cut = texts.select("first", "w", spots).select("first", "spot", F.expr(f"xxhash64({_without('w', 'spot')}) AS v"))
+    whole = small(written(texts.select("first", F.xxhash64("w").alias("v")), "wholes"))
+    lowest = F.min("first").alias("other")
+    met = small(written(cut.groupBy("v", "spot").agg(lowest, F.count("*").alias("n")).where("n > 1").drop("n"), "variants"))
+    replaced = cut.join(met, ["v", "spot"]).select("first", "other")
+    inserted = written(cut.join(whole.select("v", F.col("first").alias("other")), "v").select("first", "other", "v"), "inserted")
+    longer = whole.join(inserted.groupBy("v").agg(lowest), "v").select("first", "other")
+    pairs = replaced.union(inserted.select("first", "other")).union(longer).where("other < first").distinct()
     theirs = texts.select(F.col("first").alias("other"), F.col("w").alias("w2"))
-    true = pairs.join(texts.select("k1", "k2", "w"), ["k1", "k2"]).join(theirs, "other").where(within_one_edit("w", "w2"))
-    partners = true.groupBy("k1", "k2").agg(F.min("other").alias("partner"))
-    return classes.join(written(partners, "partners"), ["k1", "k2"], "left")
+    true = pairs.join(texts, "first").join(theirs, "other").where(within_one_edit("w", "w2"))
+    partners = written(true.groupBy("first").agg(F.min("other").alias("partner")), "partners")
+    return classes.join(partners, "first", "left").where("n > 1 OR partner IS NOT NULL").select("k1", "k2", "first", "partner")
 
 
 def within_one_edit(a: str, b: str) -> str:
@@ -87,11 +100,11 @@ def within_one_edit(a: str, b: str) -> str:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """_id, _h, dropped (sorted numbers of the lines to drop), n_near (how many of them have no equal line earlier)."""
-    classes = written(line_classes(docs), "decisions")
-    lines = _lines(docs.dropDuplicates(["_id", "_h"])).select("_id", "_h", "line", "k1", "k2")
-    judged = lines.join(classes, ["k1", "k2"]).withColumn("again", F.expr("struct(_id, _h, line) > first"))
+    keys = line_keys(docs)
+    classes = written(line_classes(docs, keys), "decisions")
+    judged = keys.select("_id", "_h", "line", "k1", "k2").join(small(classes), ["k1", "k2"]).withColumn("again", F.expr("struct(_id, _h, line) > first"))
     out = judged.where("again OR partner IS NOT NULL")
-    return out.groupBy("_id", "_h").agg(F.sort_array(F.collect_list("line")).alias("dropped"), F.sum(F.expr("bigint(NOT again)")).alias("n_near"))
+    return out.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("line")).alias("dropped"), F.size(F.collect_set(F.expr("CASE WHEN NOT again THEN line END"))).cast("long").alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -99,7 +112,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs)
     drops = written(dropped_lines(keyed.select("_id", "_h", "text")), "droppedlines")
     joined = keyed.join(drops, ["_id", "_h"], "left")
-    kept = F.expr("CASE WHEN dropped IS NULL THEN text ELSE array_join(transform(array_except(sequence(0, size(split(text, '\n', -1)) - 1), dropped), i -> split(text, '\n', -1)[i]), '\n') END")
+    kept = F.expr("CASE WHEN dropped IS NULL THEN text ELSE array_join(filter(split(text, '\n', -1), (t, i) -> NOT array_contains(dropped, i)), '\n') END")
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")
     counts = {"n_lines": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines), "n_dropped": F.coalesce(F.size("dropped"), F.lit(0)).cast("long"), "n_near": F.coalesce("n_near", F.lit(0).cast("long"))}
     columns = [kept.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in counts]
