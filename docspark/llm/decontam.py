@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from docspark.llm.common import small, with_row_key, written
 
 WINDOW = 10
-ANCHORS = 3
+ANCHORS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -77,7 +77,7 @@ def phrase_matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
     """_id, _h, win_id, start, len of every occurrence of a window in a document; docs has _id and _h."""
     anchor = written(anchors(docs, wins), "anchors")
     found = written(_candidates(postings(docs, anchor), anchor).join(small(wins.select("win_id", "win")), "win_id"), "candidates")
-    keys = small(written(found.select("_id", "_h").distinct(), "candidatekeys"), 4_000_000)
+    keys = small(written(found.select("_id", "_h").distinct(), "candidatekeys"), 1_000_000)
     texts = docs.join(keys, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("_id", "_h", words_of(F.col("text")).alias("w"))
     held = found.groupBy("_id", "_h").agg(F.collect_list(F.struct("win_id", "start", "win")).alias("c"))
     true = texts.join(held, ["_id", "_h"]).select("_id", "_h", F.expr("filter(c, x -> slice(w, x.start + 1, size(x.win)) = x.win) AS c"))
