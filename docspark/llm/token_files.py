@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from docspark.llm.common import new_folder, small, with_row_key, written
 ID_BYTES = 2
 END_ID = 1
 DOCS_PER_SHARD = 10_000
-KEPT_PIECES = 300_000
+KEPT_PIECES = 800_000
 _MAGIC = b"DSIDX001"
 
 
@@ -143,27 +144,52 @@ def _keys(ids: pd.Series, hashes: pd.Series, copies: pd.Series) -> np.ndarray:
 
 class PieceTokenizer:
     """Texts to the raw bytes of their ids. The tokenizer drops white space and treats what stands between blanks
-    separately, so each distinct piece between blanks is encoded once and its ids are kept."""
+    separately, so each distinct piece between blanks is encoded once and its ids are kept. New pieces are encoded
+    many at a time, with a mark of one id between them."""
+
+    AT_ONCE = 1000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.encode_special_tokens = True
+        self.mark, self.mark_id = next((c, i[0]) for c in "\u00a7\u00b6\u00a4~^" if len(i := self._encode([c])[0]) == 1)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        odd = [p for p in pieces if self.mark in p]
+        plain = [p for p in pieces if self.mark not in p]
+        for at in range(0, len(plain), self.AT_ONCE):
+            part = plain[at : at + self.AT_ONCE]
+            ids = np.array(self._encode([f" {self.mark} ".join(part)])[0], f"<u{ID_BYTES}")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(part) - 1:
+                odd += part
+                continue
+            data = ids.tobytes()
+            bounds = (np.concatenate(([0], cuts + 1)) * ID_BYTES).tolist(), (np.append(cuts, len(ids)) * ID_BYTES).tolist()
+            self.known.update((p, data[i:j]) for p, i, j in zip(part, *bounds, strict=True))
+        for p, ids in zip(odd, self._encode(odd), strict=True):
+            self.known[p] = np.array(ids, f"<u{ID_BYTES}").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         pieces = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > KEPT_PIECES:
             self.known.clear()
-        new = list(set().union(*pieces) - self.known.keys())
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, f"<u{ID_BYTES}").tobytes()
+        self._learn(list(set().union(*pieces) - self.known.keys()))
         end = END_ID.to_bytes(ID_BYTES, "little")
         return [b"".join(map(self.known.__getitem__, p)) + end for p in pieces]
 
 
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> PieceTokenizer:
+    """One for all tasks of a worker, so that what it has learned serves the next shard, too."""
+    return PieceTokenizer(path)
+
+
 def write_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Writes the files. The key table: shard, path, doc_id, _id, _h, copy."""
     folder = new_folder(docs.sparkSession, "ids")
@@ -176,7 +202,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encode, shard = PieceTokenizer(tokenizer_path), TaskContext.get().partitionId()
+        encode, shard = _tokenizer(tokenizer_path), TaskContext.get().partitionId()
         path = f"{folder}/{shard:06d}-{uuid.uuid4().hex[:8]}"
         fs, at = _filesystem(path)
         fs.create_dir(at.rpartition("/")[0], recursive=True)
