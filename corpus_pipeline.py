@@ -38,16 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id; five-word shingles, similarity 0.8."""
-    docs = docs.select(COLUMNS)
-    gone = written(near_duplicates(docs, size=5, percent=80).where("NOT kept AND n_shingles > 0").select("doc_id", "component_id"), "gone")
-    # of rows that share an id only the first in order of text stays where its group keeps that id
-    rest = docs.join(small(gone.select("doc_id").dropna().distinct()), "doc_id", "left_anti").select(COLUMNS)
-    keyed = with_row_key(rest)
+    keyed = with_row_key(docs.select(COLUMNS))
+    gone = near_duplicates(docs, size=5, percent=80).where("NOT kept AND n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "_h")
+    keyed = keyed.join(small(written(gone.distinct(), "gone")), ["_id", "_h"], "left_anti")
+    # rows equal in id and text are one group, too
     repeated = written(keyed.groupBy("_id", "_h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
-    if not repeated.take(1):
-        return rest
-    once = keyed.join(small(repeated), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
-    return keyed.join(small(repeated), ["_id", "_h"], "left_anti").unionByName(once).select(COLUMNS)
+    if repeated.take(1):
+        once = keyed.join(small(repeated), ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"])
+        keyed = keyed.join(small(repeated), ["_id", "_h"], "left_anti").unionByName(once)
+    return keyed.select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

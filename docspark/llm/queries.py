@@ -74,7 +74,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80)
+    return near_duplicates(_table(spark, sf_dir, "documents"), size=2, percent=80).drop("_h")
 
 
 QUERIES: dict[str, Query] = {
