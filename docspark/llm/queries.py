@@ -16,8 +16,9 @@ from docspark.llm.quality import classify
 from docspark.llm.secret_scan import scan
 from docspark.llm.syncmers import edited_likeness
 from docspark.llm.token_files import id_digests, write_ids
+from docspark.llm.url_filter import ALL_EVENTS_SQL
 from docspark.llm.url_filter import ORACLE_SQL as URL_SQL
-from docspark.llm.url_filter import decide, listed_by_events
+from docspark.llm.url_filter import decide, listed_by_all_events, listed_by_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +65,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide(*listed_by_events(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "events")))
 
 
+def op7_url_filter_all_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(*listed_by_all_events(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "events")))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -85,9 +90,10 @@ QUERIES: dict[str, Query] = {
     "op5_token_files": op5_token_files,
     "op6_syncmers": op6_syncmers,
     "op7_url_filter": op7_url_filter,
+    "op7_url_filter_all_events": op7_url_filter_all_events,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_minhash_near_dup": op10_minhash_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": URL_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": URL_SQL, "op7_url_filter_all_events": ALL_EVENTS_SQL}

@@ -69,11 +69,23 @@ def decide(captures: DataFrame, entries: DataFrame, url: str = "url", time: str
 
 
 def listed_by_events(pages: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Captures and list entries from the tables: a page's fetch time follows from its id; an event is an entry on the page of its id."""
+    """Captures and list entries from the tables: a page's fetch time follows from its id; an event is an entry on the
+    page of its id. Events whose id is no page's are no entries: listed_by_all_events takes them all."""
+    return _listed(pages, events, F.col("event_id"))
+
+
+def listed_by_all_events(pages: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As listed_by_events, but every event is an entry: its id modulo the number of page ids names the page, so that a
+    host has dated entries over the whole range of the events. Page ids are 0, 1, 2, ... as in the tables."""
+    count = F.broadcast(pages.agg((F.max("page_id") + 1).alias("_pages")))
+    return _listed(pages, events.crossJoin(count), F.expr("pmod(event_id, _pages)"))
+
+
+def _listed(pages: DataFrame, events: DataFrame, page: Column) -> tuple[DataFrame, DataFrame]:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     captures = pages.select("page_id", "url", (start + F.make_dt_interval(mins=F.pmod(F.col("page_id") * 7919, F.lit(43200)).cast("int"))).alias("fetch_time"))
-    on = pages.select(F.col("page_id").alias("event_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
-    entries = events.select("event_id", "event_type", F.col("ts").alias("since")).join(on, "event_id")
+    on = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
+    entries = events.select(page.alias("page_id"), "event_type", F.col("ts").alias("since")).join(on, "page_id")
     kind = F.expr("CASE event_type WHEN 'click' THEN 'domain' WHEN 'error' THEN 'prefix' ELSE 'host' END")
     pattern = F.expr(r"CASE event_type WHEN 'click' THEN regexp_replace(host, '^(m|www|blog)[.]', '') WHEN 'error' THEN concat(host, regexp_extract(path, '^(/[^/]*/)', 1)) ELSE host END")
     action = F.expr("CASE event_type WHEN 'signup' THEN 'allow' WHEN 'purchase' THEN 'remove' ELSE 'block' END")
@@ -112,3 +124,6 @@ SELECT page_id, c.url, c.fetch_time, c.host, kind, pattern, CASE r WHEN 3 THEN '
     coalesce(r <> 3, TRUE) AS kept
 FROM c LEFT JOIN best ON c.url = best.url AND c.fetch_time = best.fetch_time
 """
+
+#: The same over listed_by_all_events.
+ALL_EVENTS_SQL = ORACLE_SQL.replace("ON event_id = page_id", "ON event_id % (SELECT max(page_id) + 1 FROM pages) = page_id")
