@@ -13,7 +13,8 @@ itself and the line without any one of its words, as hashed keys. Two lines with
    (never all pairs under a key); the pairs are verified word by word.
 4. A line is dropped if an equal line stands earlier, or a line within one edit does, dropped or not.
 
-Lines of under MIN_WORDS words are never dropped, and those of under NEAR_WORDS only if equal. A null text stays
+Lines without words are never dropped, and those of under NEAR_WORDS words only if equal: one edit in so few words is
+a similarity below 0.8. A null text stays
 null and has no lines. Rows equal in doc_id and text count as one document and keep the same lines. Other columns
 pass through.
 """
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import small, with_row_key, written
 
-MIN_WORDS = 4
-NEAR_WORDS = 10
+MIN_WORDS = 1
+NEAR_WORDS = 5
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,9 +41,10 @@ def _words() -> Column:
 
 
 def _halves() -> Column:
-    """Keys of the halves that a partner as long as the line or longer, and one that is a word shorter, shares with it."""
-    parts = [f"xxhash64(0, slice(w, 1, int(({m}) / 2))), xxhash64(1, slice(w, -(({m}) - int(({m}) / 2)), {m}))" for m in ("size(w)", "size(w) - 1")]
-    return F.expr(f"array_distinct(array({', '.join(parts)}))")
+    """Keys of the halves that a partner as long as the line or longer, and one that is a word shorter, shares with it.
+    A key holds the number of words of the shorter line, so that short lines meet only lines of nearly their length."""
+    own, shorter = (f"xxhash64(0, {m}, slice(w, 1, int(({m}) / 2))), xxhash64(1, {m}, slice(w, -(({m}) - int(({m}) / 2)), {m}))" for m in ("size(w)", "size(w) - 1"))
+    return F.expr(f"array_distinct(if(size(w) > {NEAR_WORDS}, array({own}, {shorter}), array({own})))")
 
 
 def _without(words: str, place: str) -> str:
