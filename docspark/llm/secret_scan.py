@@ -2,13 +2,15 @@
 
 Base spans come from the three patterns below and stay. The field tags tokens (runs of the characters that secrets
 consist of) as beginning a secret, inside one or outside; features are a token's shape, the tokens beside it and
-properties of the whole file; Viterbi finds the best tags. Only tokens with a secret's shape (8 or more characters, a
-digit among them, or 20 or more) may be tagged B or I; all others are O, so the chain falls into independent runs of
-such tokens and only these are decoded: the tags are those of the whole chain. A tagged span that overlaps no base
-span is added, with kind "field".
+properties of the whole file; Viterbi finds the best tags. Tokens with a secret's shape (8 or more characters, a
+digit among them, or 20 or more) and those of 6 or more characters within NEAR characters of a secret's name may be
+tagged B or I; all others are O, so the chain falls into runs of such tokens. Only these are decoded, with the moves
+from and to the O tokens beside them: the tags are those of the whole chain. A tagged span that overlaps no base span
+is added, with kind "field".
 
 The field is fitted to at most SAMPLE_DOCS documents, drawn by the hash of doc_id and text; a token is labelled B or I if a base span
-covers it (distant supervision), so that look-alikes (numbers, addresses) are learned as O.
+covers it (distant supervision), so that look-alikes (numbers, addresses) are learned as O. Since all assignments have
+':' or '=', these are blanked out of about half of those learned from, so that the field doesn't require them.
 
 A null or empty text has no spans. Places are code points, ends exclusive. Rows are independent: ties, repeated rows
 and ids change nothing. Other columns are ignored. An empty table gives an empty result.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 2000
 EPOCHS = 12
+NEAR = 40
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?((?-i:[A-Za-z0-9+/_.=-]+))""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -35,6 +39,8 @@ _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _KINDS = {"assign": 0, "access": 1, "hex": 2, "field": 3}
 #: a run with a digit, or a long one; runs that don't qualify are sorted out by _allowed
 _LIKELY = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?:[A-Za-z+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*|[A-Za-z+/_.=-]{20,})")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_NAME = re.compile(r"password|passwd|secret|token|api_?key", re.I | re.A)
 Span = tuple[str, int, int]
 
 
@@ -79,19 +85,35 @@ def _file(text: str) -> list[str]:
     return [f"file size={min(12, len(text).bit_length())}", f"file names={any(w in text.encode('utf-8', 'surrogatepass').lower() for w in _WORDS)}"]
 
 
+def _near(text: str) -> list[tuple[int, int]]:
+    """Tokens of 6 or more characters within NEAR characters of a secret's name, but for the names themselves."""
+    out, at = [], 0
+    for m in _NAME.finditer(text):
+        start = max(at, m.start() - NEAR)
+        while 0 < start < len(text) and start > at and _TOKEN.match(text[start - 1]):
+            start -= 1
+        for t in _TOKEN.finditer(text, start):
+            if t.start() > m.end() + NEAR:
+                break
+            at = t.end()
+            if len(t[0]) >= 6 and not _NAME.fullmatch(t[0].strip("+/_.=-")):
+                out.append(t.span())
+    return out
+
+
 def runs(text: str) -> list[list[tuple[int, int, list[str]]]]:
-    """Runs of tokens that may be secrets, with at most two characters between neighbours: (start, end, features) each."""
-    out, last = [], -9
+    """Runs of tokens that may be secrets, with no token between neighbours: (start, end, features) each."""
+    out: list[list[tuple[int, int, list[str]]]] = []
+    last = -1
     whole: list[str] | None = None
-    for m in _LIKELY.finditer(text):
-        token = m[0]
-        if not _allowed(token):
-            continue
+    places = {m.span() for m in _LIKELY.finditer(text) if _allowed(m[0])}
+    if any(w in text.encode("utf-8", "surrogatepass").lower() for w in _WORDS):
+        places.update(_near(text))
+    for start, end in sorted(places):
         whole = whole or _file(text)
-        start, end = m.span()
-        if start - last > 2:
+        if last < 0 or _TOKEN.search(text, last, start):
             out.append([])
-        out[-1].append((start, end, _shape(token) + _beside(text, start, end) + whole))
+        out[-1].append((start, end, _shape(text[start:end]) + _beside(text, start, end) + whole))
         last = end
     return out
 
@@ -107,8 +129,14 @@ class Field:
     def scores(self, run: list[list[str]]) -> np.ndarray:
         known = self.names
         out = np.array([self.state[[known[f] for f in token if f in known]].sum(axis=0) for token in run])
-        out[0, 2] = -1e9
-        return out
+        return self._edged(out)
+
+    def _edged(self, at: np.ndarray) -> np.ndarray:
+        """Adds the moves from and to the O tokens (or ends of the text) around the run."""
+        at[0] += self.move[0]
+        at[0, 2] = -1e9
+        at[-1] += self.move[:, 0]
+        return at
 
     def decode(self, run: list[list[str]]) -> list[int]:
         """Viterbi."""
@@ -131,8 +159,7 @@ class Field:
         for _ in range(EPOCHS):
             for k in order.permutation(len(rows)):
                 run, tags = rows[k]
-                at, move = np.array([self.state[t].sum(axis=0) for t in run]), self.move + self.banned
-                at[0, 2] = -1e9
+                at, move = self._edged(np.array([self.state[t].sum(axis=0) for t in run])), self.move + self.banned
                 n = len(run)
                 fore, rear = np.zeros((n, 3)), np.zeros((n, 3))
                 fore[0] = at[0]
@@ -143,6 +170,10 @@ class Field:
                 total = np.logaddexp.reduce(fore[-1])
                 share = np.exp(fore + rear - total)
                 slope = np.zeros((3, 3))
+                slope[0] -= share[0]
+                slope[0, tags[0]] += 1
+                slope[:, 0] -= share[-1]
+                slope[tags[-1], 0] += 1
                 for i in range(1, n):
                     slope -= np.exp(fore[i - 1][:, None] + move + at[i] + rear[i] - total)
                     slope[tags[i - 1], tags[i]] += 1
@@ -157,11 +188,18 @@ class Field:
         return self
 
 
+def _blanked(m: re.Match) -> str:
+    """The assignment, in half of the cases (by its hash) with spaces for what stands between name and value; as long."""
+    if zlib.crc32(m[0].encode("utf-8", "surrogatepass")) % 2:
+        return m[0]
+    return m[1] + " " * (m.start(2) - m.end(1)) + m[2]
+
+
 def _labelled(texts: list[str]) -> list[tuple[list[list[str]], list[int]]]:
     out = []
     for text in texts:
         spans = base_spans(text)
-        for run in runs(text):
+        for run in runs(_ASSIGN.sub(_blanked, text)):
             tags, last = [], None
             for start, end, _ in run:
                 own = next((s for s in spans if s[1] < end and start < s[2]), None)

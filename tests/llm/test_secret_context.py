@@ -1,0 +1,38 @@
+from __future__ import annotations
+
+import random
+
+from docspark.llm.secret_scan import Field, base_spans, field_spans, runs, _labelled
+
+
+def fitted(rng):
+    token = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    texts = []
+    for _ in range(200):
+        texts.append(f"set password={token('0123456789abcdef', 18)} now and call 0{token('0123456789', 9)} or see {token('0123456789', 16)}")
+        texts.append(f'token = "{token("0123456789abcdef", 40)}" at 10.0.0.{rng.randrange(255)} on 2024-01-{rng.randrange(10, 28)}')
+    data = _labelled(texts)
+    return Field({f: k for k, f in enumerate(sorted({f for r, _ in data for t in r for f in t}))}).fit(data)
+
+
+def test_key_without_separator():
+    rng = random.Random(1)
+    field = fitted(rng)
+    text = f"the secret is {''.join(rng.choice('0123456789abcdef') for _ in range(20))} here"
+    assert base_spans(text) == [] and field_spans(text, field, []) == [("field", 14, 34)]
+
+
+def test_tokens_in_the_chain():
+    found = lambda text: [text[a:b] for run in runs(text) for a, b, _ in run]
+    assert found("the password is correcthorse") == ["correcthorse"]
+    assert found("correcthorse is the password") == ["correcthorse"]
+    assert found("my secret: abc123 " + "and so on " * 5 + "abc123 letters") == ["abc123"]
+    assert found("no name near correcthorse") == []
+
+
+def test_moves_at_the_ends():
+    field = Field({"f": 0})
+    field.state[0] = [0.0, 0.5, 0.0]
+    assert field.decode([["f"]]) == [1]
+    field.move[1, 0] = -1.0
+    assert field.decode([["f"]]) == [0]
