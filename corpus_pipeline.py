@@ -1,8 +1,8 @@
 """The corpus pipeline: quality classifier, line dedup, MinHash near-dedup, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of documents, with n_chars as the length of the text that is left. A null doc_id passes through: such rows are
-judged by their texts.
+columns of documents, with n_chars as the length of the text that is left. Rows are judged by (doc_id, text), so
+rows with a null or repeated doc_id are judged by their texts.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from docspark.llm.byte_bpe import encoded
 from docspark.llm.common import new_folder, small, with_row_key, written
-from docspark.llm.decontam import contamination
+from docspark.llm.decontam import keyed_contamination
 from docspark.llm.line_dedup import dedup_lines
-from docspark.llm.near_dup import near_duplicates
+from docspark.llm.near_dup import near_copies
 from docspark.llm.quality import keep_good
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,10 +37,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id; five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: the one with the smallest doc_id (null ids last), then hash; five-word shingles, similarity 0.8."""
     keyed = with_row_key(docs.select(COLUMNS))
-    gone = near_duplicates(docs, size=5, percent=80).where("NOT kept AND n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "_h")
-    keyed = keyed.join(small(written(gone.distinct(), "gone")), ["_id", "_h"], "left_anti")
+    gone = near_copies(docs, size=5, percent=80)
+    keyed = keyed.join(small(written(gone, "gone")), ["_id", "_h"], "left_anti")
     # rows equal in id and text are one group, too
     repeated = written(keyed.groupBy("_id", "_h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
     if repeated.take(1):
@@ -51,10 +51,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
-    docs = docs.select(COLUMNS)
-    marks = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = small(written(marks.where("contaminated").select("doc_id").distinct(), "contaminated"))
-    return docs.join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti").select(COLUMNS)
+    keyed = with_row_key(docs.select(COLUMNS))
+    marks = keyed_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = small(written(marks.where("contaminated").select("_id", "_h").distinct(), "contaminated"))
+    return keyed.join(hit, ["_id", "_h"], "left_anti").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,11 @@ def phrase_matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated for each row of docs."""
+    return keyed_contamination(docs, benchmark, length).drop("_id", "_h")
+
+
+def keyed_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+    """As contamination, with _id and _h, the keys of with_row_key."""
     docs = with_row_key(docs.select("doc_id", "text"))
     items = written(windows(benchmark, length).withColumn("win_id", F.xxhash64("win")), "windows")
     wins = written(items.select("win_id", "win").distinct(), "distinctwindows")
@@ -96,4 +101,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -
     marks = written(covered.join(listed, ["_id", "_h"], "left"), "marks")
     counted = docs.select("doc_id", "_id", "_h", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return counted.join(small(marks), ["_id", "_h"], "left").select("doc_id", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (hit > 0).alias("contaminated"))
+    return counted.join(small(marks), ["_id", "_h"], "left").select("doc_id", "_id", "_h", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (hit > 0).alias("contaminated"))

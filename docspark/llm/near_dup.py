@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import small, written
+from docspark.llm.common import small, with_row_key, written
 
 COORDINATES = 32
 MATCHES = 16
@@ -154,9 +154,9 @@ def _alike(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 def _sets_of(near: DataFrame, sigs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """node, shingles: the full sets of the nodes in pairs."""
     wanted = near.select("a").union(near.select("b")).withColumnRenamed("a", "node").distinct()
-    wanted = written(wanted.join(sigs, "node").select("node", F.col("low").alias("doc_id")), "wanted")
-    # a node's text is found by its smallest doc_id; where ids repeat, the key of the set tells which text it is
-    sets = _full_sets(docs.join(small(wanted), "doc_id", "left_semi"), size)
+    wanted = written(wanted.join(sigs, "node").select("node", F.coalesce("head.doc_id", F.lit(-(2**63))).alias("_id"), "head._h"), "wanted")
+    # a node's text is found by its first row: texts of null-id rows, too
+    sets = _full_sets(with_row_key(docs).join(small(wanted), ["_id", "_h"], "left_semi"), size)
     return written(sets.join(small(wanted), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -229,9 +229,20 @@ def _overlaps(x: pd.Series, y: pd.Series) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, _h (the text's hash), n_shingles, component_id and kept for each row."""
+    return _judged(docs, size, percent).drop("first_id", "first_h")
+
+
+def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """_id and _h (the keys of with_row_key) of all rows but the first of each group: the one with the smallest doc_id
+    (null ids after all others), then hash. Rows without words are in no group."""
+    judged = _judged(docs, size, percent).where("n_shingles > 0 AND NOT (doc_id <=> first_id AND _h = first_h)")
+    return judged.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), "_h").distinct()
+
+
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     rows = written(shingle_sets(docs, size), "signatures")
-    sigs = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
+    sigs = written(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "_h")).alias("head"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes")
     # a term holds the coordinate in its upper and the value in its lower 32 bits
     terms = sigs.select("node", F.posexplode("sig").alias("i", "v")).select("node", F.expr("shiftleft(bigint(i), 32) | bigint(v) AS term"))
     counts = written(terms.groupBy("term").agg(F.count("*").alias("n")).where("n > 1"), "terms")
@@ -268,8 +279,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         links = links.union(_links(_measured(more, _sets_of(more, sigs, docs, size)), percent))
         parts = written(components(links), "parts")
 
-    lows = written(sigs.select("node", "low").join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component")), "lows")
-    roots = lows.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = written(lows.join(roots, "component").select("node", "component_id"), "named")
+    lows = written(sigs.select("node", "low", "head").join(parts, "node", "left").select("node", "low", "head", F.coalesce("component", "node").alias("component")), "lows")
+    roots = lows.groupBy("component").agg(F.min("low").alias("component_id"), F.min("head").alias("head"))
+    named = written(lows.drop("head").join(roots, "component").select("node", "component_id", F.col("head.doc_id").alias("first_id"), F.col("head._h").alias("first_h")), "named")
     own = F.coalesce("component_id", "doc_id")
-    return rows.join(named, "node", "left").select("doc_id", "_h", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"))
+    return rows.join(named, "node", "left").select("doc_id", "_h", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), "first_id", "first_h")
