@@ -1,11 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-Each chunk of the corpus (a run of documents in a task) is one table of distinct words, a word being a match of
-the tokenizer's pattern. The words' bytes stand in one array. An inverted index maps the token that a pair makes
-to all positions of such pairs in all words; the merges are applied in rank order, each to all its positions at
-once, and a merge updates only the entries of the two neighbours that it touches. Since a word's merges depend on
-that word alone, replaying chunk by chunk gives the ids of one replay over all, and no text or word is shuffled.
-Words met before are not replayed again (up to KEPT_WORDS of them).
+The words (matches of the tokenizer's pattern) that a task meets for the first time stand in one array of tokens. An
+inverted index maps the token that a pair makes to all places of such pairs in all words; the merges are applied in
+rank order, each to all its places, and a merge updates only the entries of the two neighbours that it touches. Since
+a word's merges depend on that word alone, each distinct word is replayed once by a worker, and the ids are those of
+one replay over the corpus; no text or word is shuffled. A worker keeps what it has met (KEPT pieces and words, and
+those of a chunk of CHUNK_CHARS characters; then the older half goes), so that the cost of a gigabyte falls as it goes on.
 
 The ranks and the pattern are parameters. A null text counts as empty: no ids. Texts of any length are whole.
 Rows are independent, so ties, repeated rows and repeated ids change nothing.
@@ -14,16 +14,23 @@ Rows are independent, so ties, repeated rows and repeated ids change nothing.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEPT_WORDS = 300_000
+from docspark.llm.common import uncollected
+
+KEPT = 700_000
 CHUNK_CHARS = 12_000_000
+#: The pattern under which blanks bound pieces (fixed value: the split of the byte-level vocabularies).
+BLANK_BOUND = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -143,21 +150,68 @@ class MergeReplay:
 
 
 class Codec:
-    """Texts to ids and back, over a table of the words met so far."""
+    """Texts to ids and back, over a table of what was met so far.
+
+    A piece is a run without blanks, with the one blank before it if there is one: the tokenizer's pattern never
+    matches across such a bound, unless white space stands on both sides of a blank (or a text ends with a blank
+    after white space); such texts are matched whole. The table holds the ids of pieces and of the words in them.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
         self.replay, self.find = MergeReplay(ranks), regex.compile(pattern).findall
-        self.ids: dict[str, list[int]] = {}
+        self.by_blanks, self.unbound = pattern == BLANK_BOUND, re.compile(r"\s \s|\s \Z").search
+        self.kind = np.dtype("<u2" if self.replay.top <= 2**16 else "<u4")
+        self.known: dict[str, bytes] = {}
+        self.digits = {i: b"%d" % i for i in self.replay.tokens}
+
+    def pieces(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if not self.by_blanks or self.unbound(text):
+            return self.find(text)
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Replays the merges over the words of new pieces, all at once."""
+        words, known = [self.find(p) for p in pieces], self.known
+        new = list({w for own in words for w in own if w not in known})
+        for w, ids in zip(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
+            known[w] = np.array(ids, self.kind).tobytes()
+        for p, own in zip(pieces, words, strict=True):
+            if len(own) > 1:
+                known[p] = b"".join([known[w] for w in own])
+
+    def __call__(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        if len(self.known) > KEPT:
+            # the older half goes
+            for p in list(islice(self.known, len(self.known) // 2)):
+                del self.known[p]
+        found, new = [], set()
+        with uncollected():
+            for t in texts:
+                pieces = self.pieces(t)
+                ids = list(map(self.known.get, pieces))
+                if None in ids:
+                    new.update(p for p, i in zip(pieces, ids, strict=True) if i is None)
+                found.append(ids)
+            self._learn(list(new))
+        for t, ids in zip(texts, found, strict=True):
+            if None in ids:
+                ids = [self.known[p] if i is None else i for p, i in zip(self.pieces(t), ids, strict=True)]
+            yield np.frombuffer(b"".join(ids), self.kind).tolist()
+
+    def decimal(self, ids: list[int]) -> bytes:
+        return b" ".join(map(self.digits.__getitem__, ids))
+
 
-    def words(self, texts: list[str]) -> list[list[str]]:
-        found = [self.find(t) if t else [] for t in texts]
-        if len(self.ids) > KEPT_WORDS:
-            self.ids.clear()
-        new = list(set().union(*found) - self.ids.keys())
-        self.ids.update(zip(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True))
-        return found
+@lru_cache(maxsize=1)
+def _codec(ranks_path: str, pattern: str) -> Codec:
+    """One for all tasks of a worker, so that what it has met serves the next task, too."""
+    return Codec(load_ranks(ranks_path), pattern)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
@@ -170,8 +224,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = Fals
     docs = docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(load_ranks(ranks_path), pattern)
-        shown: dict[str, tuple[int, str, bytes]] = {}
+        codec = _codec(ranks_path, pattern)
         for batch in batches:
             texts, rows, at = batch["text"].tolist(), [], 0
             while at < len(texts):
@@ -179,18 +232,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = Fals
                 while end < len(texts) and chars < CHUNK_CHARS:
                     chars += len(texts[end])
                     end += 1
-                found = codec.words(texts[at:end])
-                if not digests:
-                    rows += [[i for w in words for i in codec.ids[w]] for words in found]
-                else:
-                    if len(shown) > KEPT_WORDS:
-                        shown.clear()
-                    for w in set().union(*found) - shown.keys():
-                        ids = codec.ids[w]
-                        shown[w] = len(ids), " ".join(map(str, ids)), codec.replay.decode(ids)
-                    for words in found:
-                        n, text, back = zip(*map(shown.__getitem__, words), strict=True) if words else ((), (), ())
-                        rows.append((sum(n), hashlib.sha256(" ".join(text).encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()))
+                for ids in codec(texts[at:end]):
+                    rows.append((len(ids), hashlib.sha256(codec.decimal(ids)).hexdigest(), hashlib.sha256(codec.replay.decode(ids)).hexdigest()) if digests else ids)
                 at = end
             out = batch.drop(columns="text")
             if digests:

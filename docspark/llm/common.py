@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.sources.tables import shared_dir, written
 
-__all__ = ["new_folder", "shared_dir", "small", "with_row_key", "written"]
+__all__ = ["new_folder", "shared_dir", "small", "uncollected", "with_row_key", "written"]
 #: Rows up to which a narrow lookup table (a few dozen bytes a row) is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -23,6 +26,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Pauses the cycle collector while a great many plain lists and strings are made, which it would walk again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """Adds _id and _h, a null-free key of (doc_id, text); rows equal in both share it and all their results."""
     return df.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_h": F.xxhash64("text")})
