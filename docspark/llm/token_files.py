@@ -16,11 +16,13 @@ their text's hash; rows equal in both are told apart by a running number. Other
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.llm.common import new_folder, small, with_row_key, written
+from docspark.llm.common import new_folder, small, uncollected, with_row_key, written
 
 ID_BYTES = 2
 END_ID = 1
 DOCS_PER_SHARD = 10_000
-KEPT_PIECES = 800_000
+KEPT_PIECES = 900_000
 _MAGIC = b"DSIDX001"
 
 
@@ -142,46 +144,76 @@ def _keys(ids: pd.Series, hashes: pd.Series, copies: pd.Series) -> np.ndarray:
     return np.column_stack([c.to_numpy(np.int64).view(np.uint64) for c in (ids, hashes, copies)])
 
 
+#: A piece that ends with ASCII punctuation after a Latin letter (whose lower case is one letter, too); the tokenizer always splits there.
+_TAILED = re.compile(r"(.*[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F])([!-&(-;=-@\[-`{-~]+)", re.S)
+
+
 class PieceTokenizer:
     """Texts to the raw bytes of their ids. The tokenizer drops white space and treats what stands between blanks
-    separately, so each distinct piece between blanks is encoded once and its ids are kept. New pieces are encoded
-    many at a time, with a mark of one id between them."""
+    separately, so each distinct piece between blanks is encoded once and its ids are kept; so is what a piece is
+    without the punctuation at its end, in lower case if it is ASCII (the tokenizer lower-cases). New pieces are encoded
+    many at a time, with a mark of one id between them. Texts with a special token of the file are encoded whole."""
 
-    AT_ONCE = 1000
+    AT_ONCE = 100
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark, self.mark_id = next((c, i[0]) for c in "\u00a7\u00b6\u00a4~^" if len(i := self._encode([c])[0]) == 1)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        odd = [p for p in pieces if self.mark in p]
-        plain = [p for p in pieces if self.mark not in p]
-        for at in range(0, len(plain), self.AT_ONCE):
-            part = plain[at : at + self.AT_ONCE]
-            ids = np.array(self._encode([f" {self.mark} ".join(part)])[0], f"<u{ID_BYTES}")
+    def _learn(self, pieces: set[str]) -> None:
+        known, parts = self.known, {}
+        for p in pieces:
+            m = _TAILED.fullmatch(p)
+            core = m[1] if m else p
+            parts[p] = [core.lower() if core.isascii() else core, m[2]] if m else [core.lower() if core.isascii() else core]
+        new = list({x for own in parts.values() for x in own if x not in known})
+        odd = [p for p in new if self.mark in p]
+        plain = [p for p in new if self.mark not in p]
+        groups = [plain[at : at + self.AT_ONCE] for at in range(0, len(plain), self.AT_ONCE)]
+        for part, found in zip(groups, self._encode([f" {self.mark} ".join(g) for g in groups]), strict=True):
+            ids = np.array(found, f"<u{ID_BYTES}")
             cuts = np.flatnonzero(ids == self.mark_id)
             if len(cuts) != len(part) - 1:
                 odd += part
                 continue
             data = ids.tobytes()
             bounds = (np.concatenate(([0], cuts + 1)) * ID_BYTES).tolist(), (np.append(cuts, len(ids)) * ID_BYTES).tolist()
-            self.known.update((p, data[i:j]) for p, i, j in zip(part, *bounds, strict=True))
+            known.update((p, data[i:j]) for p, i, j in zip(part, *bounds, strict=True))
         for p, ids in zip(odd, self._encode(odd), strict=True):
-            self.known[p] = np.array(ids, f"<u{ID_BYTES}").tobytes()
+            known[p] = np.array(ids, f"<u{ID_BYTES}").tobytes()
+        known.update((p, b"".join([known[x] for x in own])) for p, own in parts.items())
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self._encode([text])[0], f"<u{ID_BYTES}").tobytes()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > KEPT_PIECES:
-            self.known.clear()
-        self._learn(list(set().union(*pieces) - self.known.keys()))
+            # the older half goes
+            for p in list(islice(self.known, len(self.known) // 2)):
+                del self.known[p]
         end = END_ID.to_bytes(ID_BYTES, "little")
-        return [b"".join(map(self.known.__getitem__, p)) + end for p in pieces]
+        found, new = [], set()
+        with uncollected():
+            for t in texts:
+                if any(s in t for s in self.special):
+                    found.append([self._whole(t)])
+                    continue
+                pieces = t.replace("\n", " ").split(" ")
+                ids = list(map(self.known.get, pieces))
+                if None in ids:
+                    new.update(p for p, i in zip(pieces, ids, strict=True) if i is None)
+                found.append(ids)
+            self._learn(new)
+        for t, ids in zip(texts, found, strict=True):
+            if None in ids:
+                ids = [self.known[p] if i is None else i for p, i in zip(t.replace("\n", " ").split(" "), ids, strict=True)]
+            yield b"".join(ids) + end
 
 
 @lru_cache(maxsize=1)
