@@ -1,13 +1,15 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of K code points is a closed syncmer if the smallest (by hash) of its S-mers stands at its start or its
-end. That depends on the k-mer alone, so an edit elsewhere neither adds nor removes an anchor. A fingerprint is
-the SKETCH smallest hashes of the document's syncmers (a text of under K code points has one anchor: all of it;
-an empty text has none), so equal texts have equal fingerprints and its size is bounded. The likeness of two is the
-share of common hashes among the SKETCH smallest of both: an estimate of the Jaccard similarity of the anchor
-sets, with standard error of at most 0.5 / sqrt(SKETCH). Two empty ones have likeness 1, an empty and another 0.
+end. That depends on the k-mer alone, so an edit elsewhere neither adds nor removes an anchor. A document's anchors are
+its syncmers' hashes with their places; a text without syncmers (all of under K code points, some of up to 21) has one
+anchor, all of it, and an empty text has none. So equal texts have equal anchors, and only an empty text has none.
 
-Positions: anchors(text) returns every syncmer with its place, for positional matching.
+Likeness is the Jaccard similarity of two sets of anchors, all of them (two empty ones: 1). Places serve positional
+matching: of the anchors that two texts share, the aligned ones are those that moved by the commonest distance.
+A fingerprint, as written, is the number of distinct anchors and the SKETCH smallest hashes, so its size is bounded;
+estimate() tells the likeness from two of them with a standard error of at most 0.5 / sqrt(SKETCH), exactly if both
+texts have at most SKETCH anchors.
 
 A null text counts as empty. Order is by doc_id (null first), then text hash; repeated rows follow one another.
 """
@@ -22,12 +24,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import with_row_key
+from docspark.llm.common import with_row_key, written
 
 K = 16
 S = 9
 SKETCH = 128
-ROWS_PER_PART = 20_000
+#: Bytes of text in a part of edited_likeness, and how many parts (bounds on the driver) there are at most.
+PART_BYTES = 32 * 2**20
+MOST_PARTS = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -40,18 +44,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the text's closed syncmers."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if len(codes) < K:
-        whole = np.array([int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "little")], np.uint64)
-        return (whole, np.zeros(1, np.int64)) if len(codes) else (codes, codes.astype(np.int64))
-    small = _mix(_poly(codes, S))
-    w = K - S + 1  # 8 inner substrings
-    low, span = small, 1
-    while span < w:
-        step = min(span, w - span)
-        low = np.minimum(low[:-step], low[step:])
-        span += step
-    at = np.flatnonzero((low == small[: len(low)]) | (low == small[w - 1 :]))
-    return _mix(_poly(codes, K)[at]), at
+    at = np.empty(0, np.int64)
+    if len(codes) >= K:
+        small = _mix(_poly(codes, S))
+        w = K - S + 1  # 8 inner substrings
+        low, span = small, 1
+        while span < w:
+            step = min(span, w - span)
+            low = np.minimum(low[:-step], low[step:])
+            span += step
+        at = np.flatnonzero((low == small[: len(low)]) | (low == small[w - 1 :]))
+    if len(at):
+        return _mix(_poly(codes, K)[at]), at
+    whole = np.array([int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "little")], np.uint64)
+    return (whole, np.zeros(1, np.int64)) if len(codes) else (codes, at)
 
 
 def _poly(codes: np.ndarray, width: int) -> np.ndarray:
@@ -65,26 +71,35 @@ def _poly(codes: np.ndarray, width: int) -> np.ndarray:
     return both if width % 2 == 0 else both[: len(codes) - width + 1] * _P + codes[width - 1 :]
 
 
-def sketch(text: str) -> np.ndarray:
-    """The fingerprint: sorted 32-bit hashes."""
-    h = (anchors(text)[0] >> np.uint64(32)).astype(np.uint32)
-    if len(h) > 4 * SKETCH:
-        # enough of the smallest to hold SKETCH distinct ones, else all
-        few = np.unique(np.partition(h, 2 * SKETCH)[: 2 * SKETCH])
-        if len(few) > SKETCH:
-            return few[:SKETCH]
-    return np.unique(h)[:SKETCH]
+def distinct(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's anchors, each at its first place, in order of their hashes."""
+    h, at = anchors(text)
+    h, first = np.unique(h, return_index=True)
+    return h, at[first]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    merged = np.union1d(a, b)[:SKETCH]
-    return float(len(np.intersect1d(np.intersect1d(a, b, assume_unique=True), merged, assume_unique=True)) / len(merged))
+def compared(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, int]:
+    """Likeness and aligned anchors of two texts, from their distinct anchors."""
+    if not len(a[0]) or not len(b[0]):
+        return float(len(a[0]) == len(b[0])), 0
+    common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    moved = np.unique(a[1][i] - b[1][j], return_counts=True)[1]
+    return len(common) / (len(a[0]) + len(b[0]) - len(common)), int(moved.max()) if len(moved) else 0
 
 
-def shown(a: np.ndarray) -> str:
-    return a.astype(">u4").tobytes().hex()
+def shown(a: tuple[np.ndarray, np.ndarray]) -> str:
+    """The fingerprint: the number of anchors and the smallest hashes, in hexadecimal digits."""
+    return f"{len(a[0]):x}:" + a[0][:SKETCH].astype(">u8").tobytes().hex()
+
+
+def estimate(a: str, b: str) -> float:
+    """Likeness from two fingerprints."""
+    x, y = ({f[k : k + 16] for k in range(0, len(f), 16)} for f in (a.partition(":")[2], b.partition(":")[2]))
+    if not x or not y:
+        return float(len(x) == len(y))
+    full = all(int(f.partition(":")[0], 16) <= SKETCH for f in (a, b))
+    merged = x | y if full else set(sorted(x | y)[:SKETCH])
+    return len(x & y & merged) / len(merged)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -92,7 +107,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fingerprint": [shown(sketch(t or "")) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fingerprint": [shown(distinct(t or "")) for t in batch["text"]]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fingerprint string")
 
@@ -100,19 +115,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Each text against itself with its last quarter replaced by the next document's beginning, and against the next.
 
-    Rows are dealt by ranges of doc_id whose bounds are quantiles; each part gets the first row of the next part
-    as well, so one shuffle brings every document together with its successor.
+    Rows are dealt by ranges of doc_id whose bounds are quantiles, to parts of about PART_BYTES of text (more if that
+    would be over MOST_PARTS parts; a part is streamed, so its size isn't a matter of memory). Each part gets the first
+    row of the next part as well, so one shuffle brings every document together with its successor.
     """
     docs = with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = docs.count()
-    n = max(64, rows // ROWS_PER_PART)
-    bounds = np.unique(docs.approxQuantile("_id", [i / n for i in range(1, n)], 0.2 / n)).astype(np.int64) if rows else np.empty(0, np.int64)
+    keys = written(docs.select("_id", "_h", F.octet_length("text").alias("n")), "keys")
+    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n = max(1, min(MOST_PARTS, size // PART_BYTES, rows))
+    bounds = np.unique(keys.approxQuantile("_id", [i / n for i in range(1, n)], 0.2 / n)).astype(np.int64) if n > 1 else np.empty(0, np.int64)
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right").astype(np.int32))
 
-    firsts = sorted((r.part, r.first._id, r.first._h) for r in docs.select("_id", "_h").withColumn("part", part_of("_id")).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("first")).collect())
+    # at most a row for each of the parts
+    firsts = sorted((r.part, r.first._id, r.first._h) for r in keys.select("_id", "_h", part_of("_id").alias("part")).groupBy("part").agg(F.min(F.struct("_id", "_h")).alias("first")).collect())
     # the first row of each part goes to the part before it, too; that of the first part to the last
     heads = [(firsts[k - 1][0], i, h) for k, (_, i, h) in enumerate(firsts)]
     heads = docs.sparkSession.createDataFrame(heads, "part int, _id long, _h long")
@@ -126,19 +144,20 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for part, ahead, i, text in batch.itertuples(index=False):
-                own = sketch(text)
+                own = distinct(text)
                 if last is not None and last[0] == part:
                     rows.append(_row(*last[1:], text, own))
                 last = None if ahead else (part, i, text, own)
-            out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            out = pd.DataFrame(rows, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "aligned_edited", "aligned_next"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited long, aligned_next long")
 
 
-def _row(i, text: str, own: np.ndarray, after: str, theirs: np.ndarray) -> tuple:
+def _row(i, text: str, own: tuple, after: str, theirs: tuple) -> tuple:
     cut = len(text) // 4
     edited = text[: len(text) - cut] + after[:cut]
-    changed = own if edited == text else sketch(edited)
-    return i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(changed), likeness(own, changed), likeness(own, theirs)
+    changed = own if edited == text else distinct(edited)
+    (near, aligned), (near_next, aligned_next) = compared(own, changed), compared(own, theirs)
+    return i, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), shown(own), shown(changed), near, near_next, aligned, aligned_next

@@ -11,10 +11,9 @@ import public_tokenizers as P
 import pytest
 
 from docspark.llm.byte_bpe import decoded, encoded, load_ranks
-from docspark.llm.syncmers import K, anchors, edited_likeness, fingerprints, likeness, sketch
 from docspark.llm.token_files import PerfectHash, Shard, id_digests, read_ids, write_ids
 
-ODD = [None, "", " ", "a" * 3000, "=-" * 500, "naïve 漢字́ é x\x1c\x85", "<|endoftext|> it's WE'LL", "\n\n  x \n", "ΣΑΣ İK ſ", "1234567 ½", "word " * 2000, "😀".encode("utf-16", "surrogatepass").decode("utf-16")]
+ODD = [None, "", " ", "a" * 3000, "=-" * 500, "naïve 漢字́ é x\x1c\x85", "<|endoftext|> it's WE'LL", "a <|startoftext|>b<|endoftext|>.  c <|endoftex", "Word, word. ÉTÉ!! été?' (x), Ab-c's;",  "\n\n  x \n", "ΣΑΣ İK ſ", "1234567 ½", "word " * 2000, "😀".encode("utf-16", "surrogatepass").decode("utf-16")]
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +47,6 @@ def test_token_files(docs, texts):
 
     path = P.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     wanted = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts}
     keys = write_ids(docs, path)
     assert {r.doc_id: list(r.ids) for r in read_ids(keys).collect()} == wanted
@@ -73,37 +71,3 @@ def test_token_files_odd_rows(spark):
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, (20_000, 3)).astype(np.uint64)
     assert sorted(PerfectHash.build(keys).slots(keys)) == list(range(20_000))
-
-
-def test_closed_syncmers(docs, texts):
-    rng = random.Random(6)
-    text = "".join(rng.choice("abcdefghij ") for _ in range(2000))
-    h, at = anchors(text)
-    assert 0.15 < len(at) / len(text) < 0.35
-    moved, there = anchors("xyz" + text)
-    assert set(zip(h.tolist(), (at + 3).tolist(), strict=True)) <= set(zip(moved.tolist(), there.tolist(), strict=True))
-    assert likeness(sketch(text), sketch(text[:1000] + "!" + text[1000:])) > 0.9
-    assert likeness(sketch(text), sketch(text[::-1])) < 0.05
-    assert likeness(sketch(""), sketch("")) == 1 and likeness(sketch(""), sketch("a")) == 0
-    assert len(anchors("a" * (K - 1))[0]) == 1 and len(anchors("")[0]) == 0
-
-
-def test_fingerprints(docs, texts):
-    got = {r.doc_id: r for r in edited_likeness(docs).collect()}
-    plain = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
-    for k, (i, t) in enumerate(texts):
-        text, after = t or "", texts[(k + 1) % len(texts)][1] or ""
-        cut = len(text) // 4
-        edited = text[: len(text) - cut] + after[:cut]
-        r = got[i]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), plain[i])
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (edited != text or r.near_edited == 1)
-
-
-def test_fingerprints_odd_rows(spark):
-    assert edited_likeness(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    one = edited_likeness(spark.createDataFrame([(3, "abcdefgh")], "doc_id long, text string")).collect()
-    assert [(r.doc_id, r.near_next) for r in one] == [(3, 1.0)]
-    rows = [(None, "first"), (1, "same text here"), (1, "same text here"), (2, None)]
-    got = edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(r.n_chars for r in got) == [0, 5, 14, 14] and max(r.near_next for r in got if r.doc_id == 1) == 1.0
