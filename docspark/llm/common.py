@@ -13,17 +13,19 @@ from pyspark.sql import functions as F
 from docspark.sources.tables import shared_dir, written
 
 __all__ = ["new_folder", "shared_dir", "small", "uncollected", "with_row_key", "written"]
-#: Rows up to which a narrow lookup table (a few dozen bytes a row) is broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 400_000
+#: Size on disk up to which a written table is broadcast (a few times that in memory); beyond it, joins shuffle.
+BROADCAST_BYTES = 12 * 2**20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/docspark-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, marked for broadcast only if it has at most so many rows; else Spark picks a shuffle join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame) -> DataFrame:
+    """A written table (or columns of one), marked for broadcast only if its files are small by the plan's statistics,
+    which know them without a job; else Spark picks a shuffle join."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
 @contextmanager

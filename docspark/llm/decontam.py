@@ -3,11 +3,13 @@
 1. Benchmark items become windows of WINDOW consecutive words (a shorter item is one window).
 2. One pass over the documents counts how often each benchmark word occurs in them. A window with a word that
    occurs nowhere can't occur and is dropped; of each other window the ANCHORS rarest words are its anchors.
-3. The index holds the postings (word, document, position) of the anchor words: no query asks for another's.
-4. A posting minus the anchor's offset is a place where the window may begin; a place that all anchors of the
-   window name is a candidate (offset-adjusted intersection from the rarest words).
-5. phrase: the window's words are compared at the candidate's place in the document's whole words.
-   proximity: anchors that stand within `slop` places of their offsets, in any order (near_matches).
+3. The index holds the postings (word, document, position) of the anchor words. A posting minus the anchor's offset is
+   a place where the window may begin; a place that all anchors of the window name is a candidate of a phrase
+   (offset-adjusted intersection of the rarest lists). A place that all anchors name to within SLOP places is a
+   candidate of proximity.
+4. For the documents with a candidate, the index is widened to the postings of all words of the windows, and the lists of
+   all of a candidate's words are intersected in the same way: a phrase has each word of the window at its offset,
+   a near match has each word within SLOP places of its offset (so two words may be swapped, or one put in between).
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case. A null text has no words; an item
 without words has no window; items with one id and equal windows count once; an item with a null id marks words
@@ -23,7 +25,8 @@ from pyspark.sql.window import Window
 from docspark.llm.common import small, with_row_key, written
 
 WINDOW = 10
-ANCHORS = 2
+ANCHORS = 3
+SLOP = 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -55,50 +58,69 @@ def anchors(docs: DataFrame, wins: DataFrame, count: int = ANCHORS) -> DataFrame
     return ranked.where(f"least > 0 AND r <= {count}").select("win_id", "word", "off", F.count("*").over(each).alias("k"))
 
 
-def postings(docs: DataFrame, anchor: DataFrame) -> DataFrame:
-    """word, _id, _h, pos: the positional index, as a written table."""
-    wanted = small(written(anchor.select("word").distinct(), "anchorwords"))
-    return written(_tokens(docs).join(wanted, "word", "left_semi").distinct(), "postings")
+def postings(docs: DataFrame, words: DataFrame, name: str = "postings") -> DataFrame:
+    """word, _id, _h, pos: the positional index of these words, as a written table."""
+    wanted = small(written(words.select("word").distinct(), "indexedwords"))
+    return written(_tokens(docs).join(wanted, "word", "left_semi").distinct(), name)
 
 
-def _candidates(index: DataFrame, anchor: DataFrame) -> DataFrame:
-    met = index.join(small(anchor), "word").select("_id", "_h", "win_id", "off", "k", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+def _candidates(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
+    """_id, _h, win_id, start: places that all anchors of the window name to within slop."""
+    met = index.join(small(anchor), "word").select("_id", "_h", "win_id", "off", "k", (F.col("pos") - F.col("off")).alias("start"))
+    if slop:
+        met = met.select("_id", "_h", "win_id", "off", "k", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start")).distinct()
+    else:
+        met = met.where("start >= 0")
     return met.groupBy("_id", "_h", "win_id", "start").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("n = k").select("_id", "_h", "win_id", "start")
 
 
-def near_matches(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
-    """_id, _h, win_id, pos of the rarest anchor: all anchors of the window within slop places of their offsets from it."""
-    met = index.join(small(anchor), "word").select("_id", "_h", "win_id", "word", "k", "pos", (F.col("pos") - F.col("off")).alias("start"))
-    spread = met.select("*", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("place"))
-    return spread.groupBy("_id", "_h", "win_id", "place").agg(F.count_distinct("word").alias("n"), F.first("k").alias("k"), F.min("pos").alias("pos")).where("n = k").select("_id", "_h", "win_id", "pos").distinct()
+def _confirmed(found: DataFrame, words: DataFrame, index: DataFrame, slop: int) -> DataFrame:
+    """Those candidates (with the window's len) of which each word stands within slop of its place."""
+    asked = found.join(small(words), "win_id").select("_id", "_h", "win_id", "start", "len", "off", "word", (F.col("start") + F.col("off")).alias("pos"))
+    if slop:
+        asked = asked.withColumn("pos", F.explode(F.sequence(F.col("pos") - slop, F.col("pos") + slop)))
+    there = asked.join(index, ["_id", "_h", "pos", "word"], "left_semi")
+    there = there.select("_id", "_h", "win_id", "start", "len", "off").distinct() if slop else there
+    return there.groupBy("_id", "_h", "win_id", "start").agg(F.count("*").alias("n"), F.first("len").alias("len")).where("n = len").drop("n")
 
 
-def phrase_matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
-    """_id, _h, win_id, start, len of every occurrence of a window in a document; docs has _id and _h."""
+def matches(docs: DataFrame, wins: DataFrame, slop: int = SLOP) -> tuple[DataFrame, DataFrame]:
+    """Phrases: _id, _h, win_id, start, len of every occurrence of a window in a document (docs has _id and _h).
+    Near matches: _id, _h, win_id of the windows that occur in no such way but within slop."""
     anchor = written(anchors(docs, wins), "anchors")
-    found = written(_candidates(postings(docs, anchor), anchor).join(small(wins.select("win_id", "win")), "win_id"), "candidates")
-    keys = small(written(found.select("_id", "_h").distinct(), "candidatekeys"), 1_000_000)
-    texts = docs.join(keys, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select("_id", "_h", words_of(F.col("text")).alias("w"))
-    held = found.groupBy("_id", "_h").agg(F.collect_list(F.struct("win_id", "start", "win")).alias("c"))
-    true = texts.join(held, ["_id", "_h"]).select("_id", "_h", F.expr("filter(c, x -> slice(w, x.start + 1, size(x.win)) = x.win) AS c"))
-    return true.select("_id", "_h", F.inline(F.expr("transform(c, x -> struct(x.win_id AS win_id, x.start AS start, size(x.win) AS len))")))
+    words = wins.select("win_id", F.size("win").alias("len"), F.posexplode("win").alias("off", "word"))
+    words = written(words.join(anchor.select("win_id").distinct(), "win_id", "left_semi"), "windowwords")
+    index = postings(docs, anchor)
+    exact = written(_candidates(index, anchor, 0), "candidates")
+    near = written(_candidates(index, anchor, slop), "nearcandidates")
+    keys = small(written(near.union(exact).select("_id", "_h").distinct(), "candidatekeys"))
+    wide = postings(docs.join(keys, ["_id", "_h"], "left_semi"), words, "widepostings")
+    phrases = written(_confirmed(exact, words, wide, 0), "phrases")
+    open_ = near.join(phrases.select("_id", "_h", "win_id").distinct(), ["_id", "_h", "win_id"], "left_anti")
+    return phrases, written(_confirmed(open_, words, wide, slop).select("_id", "_h", "win_id").distinct(), "near")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated for each row of docs."""
-    return keyed_contamination(docs, benchmark, length).drop("_id", "_h")
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted ids), contaminated, n_near (items with a window that occurs or
+    is near) for each row of docs."""
+    return keyed_contamination(docs, benchmark, length, slop).drop("_id", "_h")
 
 
-def keyed_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW) -> DataFrame:
+def keyed_contamination(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """As contamination, with _id and _h, the keys of with_row_key."""
     docs = with_row_key(docs.select("doc_id", "text"))
     items = written(windows(benchmark, length).withColumn("win_id", F.xxhash64("win")), "windows")
     wins = written(items.select("win_id", "win").distinct(), "distinctwindows")
-    hits = written(phrase_matches(docs, wins), "hits")
-    covered = hits.groupBy("_id", "_h").agg(F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(start, start + len - 1)"))))).cast("long").alias("n_hit"))
-    ids = items.where("item_id IS NOT NULL").select("win_id", F.col("item_id").cast("string").alias("item")).distinct()
-    listed = hits.select("_id", "_h", "win_id").distinct().join(small(ids), "win_id").groupBy("_id", "_h").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    marks = written(covered.join(listed, ["_id", "_h"], "left"), "marks")
+    hits, near = matches(docs, wins, slop)
+    spots = hits.select("_id", "_h", F.explode(F.expr("sequence(start, start + len - 1)")).alias("pos")).distinct()
+    covered = spots.groupBy("_id", "_h").agg(F.count("*").alias("n_hit"))
+    ids = small(written(items.where("item_id IS NOT NULL").select("win_id", F.col("item_id").cast("string").alias("item")).distinct(), "windowitems"))
+    listed = hits.select("_id", "_h", "win_id").distinct().join(ids, "win_id").groupBy("_id", "_h").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    close = hits.select("_id", "_h", "win_id").union(near).distinct().join(ids, "win_id").select("_id", "_h", "item").distinct().groupBy("_id", "_h").agg(F.count("*").alias("n_near"))
+    marks = written(covered.join(listed, ["_id", "_h"], "left").join(close, ["_id", "_h"], "full"), "marks")
     counted = docs.select("doc_id", "_id", "_h", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    hit, found = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return counted.join(small(marks), ["_id", "_h"], "left").select("doc_id", "_id", "_h", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (hit > 0).alias("contaminated"))
+    none = F.lit(0).cast("long")
+    hit, found = F.coalesce("n_hit", none), F.coalesce("items", F.array().cast("array<string>"))
+    return counted.join(small(marks), ["_id", "_h"], "left").select(
+        "doc_id", "_id", "_h", "n_words", hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), (hit > 0).alias("contaminated"), F.coalesce("n_near", none).alias("n_near")
+    )

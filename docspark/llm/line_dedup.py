@@ -64,13 +64,13 @@ def line_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
     stands earlier, or null) of the classes from which lines go: those of several lines, and those with a partner."""
     halves = keys.where("halves IS NOT NULL").select("k1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("half")
-    open_ = small(written(halves.join(small(written(shared, "halves"), 1_000_000), "half", "left_semi").select("k1").distinct(), "openkeys"), 1_000_000)
+    open_ = small(written(halves.join(small(written(shared, "halves")), "half", "left_semi").select("k1").distinct(), "openkeys"))
     classes = keys.groupBy("k1", "k2").agg(F.min(F.struct("_id", "_h", "line")).alias("first"), F.count("*").alias("n"))
     classes = classes.join(open_.withColumn("open", F.lit(True)), "k1", "left").where("n > 1 OR open")
     classes = written(classes, "classes")
 
     # the words of an open class, from the line that is its first
-    firsts = small(written(classes.where("open").select("first._id", "first._h", "first.line"), "firsts"), 500_000)
+    firsts = small(written(classes.where("open").select("first._id", "first._h", "first.line"), "firsts"))
     texts = _lines(docs).join(firsts, ["_id", "_h", "line"], "left_semi").dropDuplicates(["_id", "_h", "line"])
     texts = texts.select(F.struct("_id", "_h", "line").alias("first"), _words().alias("w")).where(f"size(w) >= {NEAR_WORDS}")
     texts = written(texts, "openlines")

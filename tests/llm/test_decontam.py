@@ -2,11 +2,10 @@ from __future__ import annotations
 
 import random
 
-from brute import contaminated
+from brute import contaminated, near_items
 
-from docspark.llm.decontam import anchors, contamination, near_matches, postings, windows
-from docspark.llm.common import with_row_key
-from pyspark.sql import functions as F
+from docspark.llm import common
+from docspark.llm.decontam import contamination
 
 
 def result(df):
@@ -26,7 +25,7 @@ def test_against_all_places(spark):
     docs += [(100, None), (101, ""), (102, "?!")]
     got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert result(got) == sorted(contaminated(docs, items))
-    assert {c for c, _ in got.dtypes} == {"doc_id", "n_words", "n_hit", "n_items", "items", "contaminated"}
+    assert {c for c, _ in got.dtypes} == {"doc_id", "n_words", "n_hit", "n_items", "items", "contaminated", "n_near"}
 
 
 def test_table(spark, sf):
@@ -48,7 +47,28 @@ def test_odd_rows(spark):
 
 
 def test_proximity(spark):
-    docs = with_row_key(spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "alpha " + "x " * 9 + "beta gamma")], "doc_id long, text string"))
-    wins = windows(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")).withColumn("win_id", F.xxhash64("win"))
-    anchor = anchors(docs, wins)
-    assert sorted(r._id for r in near_matches(postings(docs, anchor), anchor, 1).select("_id").distinct().collect()) == [1, 2]
+    rng = random.Random(9)
+    passage = [f"w{k}" for k in range(14)]
+    items = [(1, " ".join(passage)), (2, "alpha beta gamma"), (3, "x x y x"), (None, "beta alpha")]
+    docs = [(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "alpha " + "x " * 9 + "beta gamma"), (4, "beta alpha gamma"), (5, "x x y x y"), (6, "alpha gamma beta x"), (7, None), (8, "gamma alpha beta")]
+    for k in range(20, 50):
+        w = list(passage)
+        for _ in range(k % 7):
+            a = rng.randrange(len(w) - 1)
+            if rng.random() < 0.5:
+                w[a], w[a + 1] = w[a + 1], w[a]
+            else:
+                w.insert(a, "z")
+        docs.append((k, " ".join(["start", *w, "end"])))
+    for slop in (1, 2):
+        got = contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop=slop)
+        wanted = near_items(docs, items, slop)
+        assert {r.doc_id: r.n_near for r in got.collect()} == wanted
+        assert {0, 1} <= set(wanted.values())
+
+
+def test_same_without_broadcasts(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(str, contamination(docs, items).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, contamination(docs, items).collect())) == whole
