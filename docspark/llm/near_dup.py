@@ -182,13 +182,15 @@ def _within_homes(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     |x and y| = |h| - |h\\x or h\\y| + |x\\h and y\\h|, so a pair is measured by what its sets differ in from the home's.
     """
     apart = F.col("part") != F.col("base")
+    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     sizes = homes.groupBy("home").agg(F.count(F.when(apart, 1)).alias("x"), F.count("*").alias("y")).where("x > 0")
-    sizes = sizes.select("home", F.ceil(F.col("x") / BLOCK).alias("xs"), F.ceil(F.col("y") / BLOCK).alias("ys"))
+    sizes = written(sizes.select("home", F.ceil(F.col("x") / BLOCK).alias("xs"), F.ceil(F.col("y") / BLOCK).alias("ys")), "homesizes")
     own = sets.select("node", F.col("shingles").alias("s"))
-    centre = sets.select(F.col("node").alias("home"), F.col("shingles").alias("h"))
-    rows = homes.join(small(written(sizes, "homesizes")), "home").join(own, "node").join(centre, "home")
+    # a large home is dealt out before it meets its centre's set, which goes to each of the slots
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("slot")
+    centre = sizes.select("home", each).join(sets.select(F.col("node").alias("home"), F.col("shingles").alias("h")), "home")
+    rows = homes.join(small(sizes), "home").join(own, "node").withColumn("slot", slot("ys")).join(centre, ["home", "slot"])
     rows = rows.select("home", "node", "part", apart.alias("apart"), "xs", "ys", F.size("s").alias("n"), F.size("h").alias("nh"), F.array_except("h", "s").alias("minus"), F.array_except("s", "h").alias("plus"))
-    slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     left = rows.where("apart").select("*", slot("xs").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("j"), F.lit(True).alias("left"))
     right = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("i"), slot("ys").alias("j"), F.lit(False).alias("left"))
     columns = ["home", "i", "j", "left", "node", "part", "n", "nh", "minus", "plus"]
@@ -268,11 +270,14 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     placed = postings.join(parts, "node", "left").select("term", "node", part).join(homes.select("node", "home"), "node", "left")
     placed = written(placed.select("term", "node", "part", F.coalesce("home", "node").alias("home")), "placed")
-    spread = placed.groupBy("term").agg(*[f(c).alias(f"{n}{c}") for c in ("part", "home") for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("lopart <> hipart AND lohome <> hihome").select("term")
+    spread = placed.groupBy("term").agg(F.ceil(F.count("*") / BLOCK).alias("cells"), *[f(c).alias(f"{n}{c}") for c in ("part", "home") for f, n in ((F.min, "lo"), (F.max, "hi"))]).where("lopart <> hipart AND lohome <> hihome").select("term", "cells")
     open_ = written(placed.join(spread, "term").join(sigs.select("node", "sig", "n_shingles"), "node"), "open")
-    x, y = (open_.select("term", *[F.col(c).alias(f"{k}{c}") for c in ("node", "part", "home", "sig", "n_shingles")]) for k in "ab")
+    # a common term's postings are compared in cells of BLOCK by BLOCK
+    slot, all_ = F.pmod(F.xxhash64("node"), F.col("cells")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    side = lambda k: [F.col(c).alias(f"{k}{c}") for c in ("node", "part", "home", "sig", "n_shingles")]
+    x, y = open_.select("term", slot.alias("i"), all_.alias("j"), *side("a")), open_.select("term", all_.alias("i"), slot.alias("j"), *side("b"))
     alike = F.expr(f"apart <> bpart AND ahome <> bhome AND anode > bnode AND 100 * least(an_shingles, bn_shingles) >= {percent} * greatest(an_shingles, bn_shingles) AND {_agree('asig', 'bsig')} >= {MATCHES}")
-    across = x.join(y, (x.term == y.term) & alike).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
+    across = x.join(y, (x.term == y.term) & (x.i == y.i) & (x.j == y.j) & alike).select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
     tried = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     more = _alike(written(across.join(tried, ["a", "b"], "left_anti"), "across"), sigs, percent)
     if more.take(1):

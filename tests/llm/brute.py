@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def linked(sets, percent: int):
+    """All pairs of the (id, set) whose sets are so alike, by counting what each shares with all before it."""
+    holders: dict = {}
+    for n, (i, a) in enumerate(sets):
+        common = Counter(k for x in a for k in holders.get(x, ()))
+        for k, c in common.items():
+            if 100 * c >= percent * (len(a) + len(sets[k][1]) - c):
+                yield i, sets[k][0]
+        for x in a:
+            holders.setdefault(x, []).append(n)
+
+
 def near_groups(rows, size: int, percent: int) -> dict[int, int]:
     """doc_id to the smallest doc_id reachable, over all pairs; texts None or without words are alone."""
-    sets = []
-    for i, text in rows:
-        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(_LOWER)) if w]
-        k = min(size, len(words))
-        sets.append((i, {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()))
+    sets = shingle_sets(rows, size)
     up = {i: i for i, _ in sets}
 
     def root(x):
@@ -22,14 +31,21 @@ def near_groups(rows, size: int, percent: int) -> dict[int, int]:
             x = up[x]
         return x
 
-    for n, (i, a) in enumerate(sets):
-        for j, b in sets[:n]:
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                x, y = sorted((root(i), root(j)))
-                up[y] = x
+    for i, j in linked(sets, percent):
+        x, y = sorted((root(i), root(j)))
+        up[y] = x
     return {i: root(i) for i in up}
 
 
+def shingle_sets(rows, size: int) -> list[tuple[int, set]]:
+    sets = []
+    for i, text in rows:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate(_LOWER)) if w]
+        k = min(size, len(words))
+        sets.append((i, {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()))
+    return sets
+
+
 def contaminated(docs, items, length: int = 10):
     """(doc_id, n_words, n_hit, sorted item ids) of each document."""
     words = lambda t: _WORD.findall((t or "").translate(_LOWER))
@@ -50,6 +66,26 @@ def contaminated(docs, items, length: int = 10):
     return out
 
 
+def near_items(docs, items, slop: int, length: int = 10) -> dict:
+    """doc_id to the number of items with a window each word of which stands within slop of its place for some start."""
+    words = lambda t: _WORD.findall((t or "").translate(_LOWER))
+    out = {}
+    for d, text in docs:
+        at: dict[str, set] = {}
+        doc = words(text)
+        for k, x in enumerate(doc):
+            at.setdefault(x, set()).add(k)
+        found = set()
+        for i, t in items:
+            w = words(t)
+            for k in range(max(1, len(w) - length + 1) if w else 0):
+                window = w[k : k + length]
+                if i is not None and any(all(any(p + o + e in at.get(x, ()) for e in range(-slop, slop + 1)) for o, x in enumerate(window)) for p in range(-slop, len(doc) + slop)):
+                    found.add(i)
+        out[d] = len(found)
+    return out
+
+
 def within_one(a, b) -> bool:
     if len(a) < len(b):
         a, b = b, a

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
-from brute import near_groups
+from brute import linked, near_groups, shingle_sets
 from pyspark.sql import functions as F
 
+from docspark.llm import common
+from docspark.llm import near_dup
 from docspark.llm.near_dup import components, near_duplicates
 
 
@@ -38,6 +40,25 @@ def test_table(spark, sf):
     assert {i: c for i, (c, _, _) in result(near_duplicates(docs, 2)).items()} == near_groups(rows, 2, 80)
 
 
+def test_recall_of_links(spark):
+    """Of all pairs at 0.8 or more on sf0.01, the share that the 16-of-32 filter keeps together; none but linked ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    got = {i: c for i, (c, _, _) in result(near_duplicates(docs, 2)).items()}
+    pairs = list(linked(shingle_sets(rows, 2), 80))
+    assert len(pairs) > 50 and sum(got[i] == got[j] for i, j in pairs) / len(pairs) >= 0.9
+    groups = near_groups(rows, 2, 80)
+    assert all(groups[i] == groups[c] for i, c in got.items())
+
+
+def test_same_without_broadcasts_and_in_small_blocks(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = result(near_duplicates(docs, 2))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    assert result(near_duplicates(docs, 2)) == whole
+
+
 def test_odd_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string"), 2).collect() == []
     rows = [(None, "a b c d", 1), (2, "a b c d", 2), (2, "x y z", 3), (7, "x y z", 4), (7, "x y z", 4)]

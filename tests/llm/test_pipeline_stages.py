@@ -16,7 +16,7 @@ def test_stages(spark, sf):
     before = dict(texts(good))
     assert texts(lines) == sorted((i, t) for i, t in wanted.items() if t == before[i] or t.strip())
     alone = corpus_pipeline.near_dedup(spark, lines, sf)
-    groups = near_groups(texts(lines), 5, 80)
+    groups = near_groups(texts(lines), 2, 80)
     assert [i for i, _ in texts(alone)] == sorted(i for i, c in groups.items() if i == c)
     clean = corpus_pipeline.decontaminate(spark, alone, sf)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
