@@ -37,9 +37,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id (null ids last), then hash; five-word shingles, similarity 0.8."""
+    """One document of each group of near copies stays: the one with the smallest doc_id (null ids last), then hash; two-word shingles and similarity 0.8, as op10."""
     keyed = with_row_key(docs.select(COLUMNS))
-    gone = near_copies(docs, size=5, percent=80)
+    gone = near_copies(docs, size=2, percent=80)
     keyed = keyed.join(small(written(gone, "gone")), ["_id", "_h"], "left_anti")
     # rows equal in id and text are one group, too
     repeated = written(keyed.groupBy("_id", "_h").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
