@@ -8,8 +8,8 @@ joined by each of its own prefixes, its host and its domains, as of that time, a
 decides (the longest prefix, else the host, else the longest domain). Without one it is kept.
 
 Intervals of one pattern don't overlap, so a capture meets at most one for each of its own patterns: the join grows
-with the captures, whatever the list's length. The list is broadcast only if its row count is checked; else the join
-shuffles and AQE splits a hot host. Intervals are made by pattern and day, so that a hot pattern isn't one task.
+with the captures, whatever the list's length. The list is broadcast only if its files are small; else the join
+shuffles and AQE splits a hot host. Intervals are made by pattern and hour, then by pattern over its hours, so that a hot pattern isn't one task.
 
 A null or host-less url, or a null time, meets no entry and is kept. Entries with a null in any column are ignored.
 Repeated captures are decided alike. Other columns of captures pass through, but for those of the result's names.
@@ -36,11 +36,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """kind, pattern, action, since, until (null: still active), without those of removed patterns."""
     entries = entries.select("kind", "pattern", "action", "since").dropna()
     rank = F.expr("CASE action WHEN 'block' THEN 3 WHEN 'allow' THEN 2 ELSE 1 END")
-    one = entries.groupBy("kind", "pattern", "since").agg(F.max(rank).alias("r")).withColumn("day", F.to_date("since"))
-    days = one.groupBy("kind", "pattern", "day").agg(F.min("since").alias("first"))
-    days = days.select("kind", "pattern", "day", F.lead("first").over(Window.partitionBy("kind", "pattern").orderBy("day")).alias("later"))
-    within = F.lead("since").over(Window.partitionBy("kind", "pattern", "day").orderBy("since"))
-    spans = one.withColumn("next", within).join(days, ["kind", "pattern", "day"]).withColumn("until", F.coalesce("next", "later"))
+    one = entries.groupBy("kind", "pattern", "since").agg(F.max(rank).alias("r")).withColumn("hour", F.date_trunc("hour", "since"))
+    hours = one.groupBy("kind", "pattern", "hour").agg(F.min("since").alias("first"))
+    hours = hours.select("kind", "pattern", "hour", F.lead("first").over(Window.partitionBy("kind", "pattern").orderBy("hour")).alias("later"))
+    within = F.lead("since").over(Window.partitionBy("kind", "pattern", "hour").orderBy("since"))
+    spans = one.withColumn("next", within).join(hours, ["kind", "pattern", "hour"]).withColumn("until", F.coalesce("next", "later"))
     return spans.where("r > 1").select("kind", "pattern", F.expr("if(r = 3, 'block', 'allow') AS action"), "since", "until")
 
 
