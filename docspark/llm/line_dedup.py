@@ -5,17 +5,17 @@ itself and the line without any one of its words, as hashed keys. Two lines with
   - a word replaced: both without the word at that place, so the key holds the place too;
   - a word inserted: the shorter line is the longer one without that word.
 
-1. Lines of MIN_WORDS words or more get a 128-bit key; equal lines form a class with its earliest place
+1. Lines of min_words words or more get a 128-bit key; equal lines form a class with its earliest place
    (doc_id, text hash, line number).
-2. Two classes of NEAR_WORDS words or more within one edit agree in the first or the last half of the shorter
+2. Two classes of near_words words or more within one edit agree in the first or the last half of the shorter
    one. Classes that share no half with another class have no partner, and emit nothing.
 3. The others emit their neighbourhoods. Grouped minima give each class the earliest class under each equal key
    (never all pairs under a key); the pairs are verified word by word.
 4. A line is dropped if an equal line stands earlier, or a line within one edit does, dropped or not.
 
-Lines without words are never dropped, and those of under NEAR_WORDS words only if equal: one edit in so few words is
-a similarity below 0.8. A null text stays
-null and has no lines. Rows equal in doc_id and text count as one document and keep the same lines. Other columns
+Lines without words are never dropped, and those of under near_words words only if equal. Its default is 5: one edit in
+fewer words is a similarity below 0.8, and with 1, all lines of one word would be one another's near copies. A null
+text stays null and has no lines. Rows equal in doc_id and text count as one document and keep the same lines. Other columns
 pass through.
 """
 
@@ -40,26 +40,26 @@ def _words() -> Column:
     return F.array_remove(F.split(F.translate("t", "\t\v\f\r", "    "), " "), "")
 
 
-def _halves() -> Column:
+def _halves(near_words: int) -> Column:
     """Keys of the halves that a partner as long as the line or longer, and one that is a word shorter, shares with it.
     A key holds the number of words of the shorter line, so that short lines meet only lines of nearly their length."""
     own, shorter = (f"xxhash64(0, {m}, slice(w, 1, int(({m}) / 2))), xxhash64(1, {m}, slice(w, -(({m}) - int(({m}) / 2)), {m}))" for m in ("size(w)", "size(w) - 1"))
-    return F.expr(f"array_distinct(if(size(w) > {NEAR_WORDS}, array({own}, {shorter}), array({own})))")
+    return F.expr(f"array_distinct(if(size(w) > {near_words}, array({own}, {shorter}), array({own})))")
 
 
 def _without(words: str, place: str) -> str:
     return f"concat(slice({words}, 1, {place}), slice({words}, {place} + 2, size({words})))"
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """_id, _h, line, k1, k2, halves (null for lines too short to have a partner) of the lines of MIN_WORDS or more
+def line_keys(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
+    """_id, _h, line, k1, k2, halves (null for lines too short to have a partner) of the lines of min_words or more
     words, as a written table."""
-    lines = _lines(docs).select("_id", "_h", "line", _words().alias("w")).where(f"size(w) >= {MIN_WORDS}")
-    keys = lines.select("_id", "_h", "line", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= NEAR_WORDS, _halves()).alias("halves"))
+    lines = _lines(docs).select("_id", "_h", "line", _words().alias("w")).where(f"size(w) >= {min_words}")
+    keys = lines.select("_id", "_h", "line", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= near_words, _halves(near_words)).alias("halves"))
     return written(keys, "linekeys")
 
 
-def line_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
+def line_classes(docs: DataFrame, keys: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """k1, k2, first (the earliest place of the class), partner (the earliest place of a class within one edit that
     stands earlier, or null) of the classes from which lines go: those of several lines, and those with a partner."""
     halves = keys.where("halves IS NOT NULL").select("k1", F.explode("halves").alias("half"))
@@ -72,7 +72,7 @@ def line_classes(docs: DataFrame, keys: DataFrame) -> DataFrame:
     # the words of an open class, from the line that is its first
     firsts = small(written(classes.where("open").select("first._id", "first._h", "first.line"), "firsts"))
     texts = _lines(docs).join(firsts, ["_id", "_h", "line"], "left_semi").dropDuplicates(["_id", "_h", "line"])
-    texts = texts.select(F.struct("_id", "_h", "line").alias("first"), _words().alias("w")).where(f"size(w) >= {NEAR_WORDS}")
+    texts = texts.select(F.struct("_id", "_h", "line").alias("first"), _words().alias("w")).where(f"size(w) >= {near_words}")
     texts = written(texts, "openlines")
 
     # the neighbourhoods: only their grouped minima are shuffled
@@ -101,19 +101,19 @@ def within_one_edit(a: str, b: str) -> str:
         ELSE slice({a}, int({front}) + 1, size({a})) = slice({b}, int({front}) + 2, size({b})) END"""
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """_id, _h, dropped (sorted numbers of the lines to drop), n_near (how many of them have no equal line earlier)."""
-    keys = line_keys(docs)
-    classes = written(line_classes(docs, keys), "decisions")
+    keys = line_keys(docs, min_words, near_words)
+    classes = written(line_classes(docs, keys, near_words), "decisions")
     judged = keys.select("_id", "_h", "line", "k1", "k2").join(small(classes), ["k1", "k2"]).withColumn("again", F.expr("struct(_id, _h, line) > first"))
     out = judged.where("again OR partner IS NOT NULL")
     return out.groupBy("_id", "_h").agg(F.sort_array(F.collect_set("line")).alias("dropped"), F.size(F.collect_set(F.expr("CASE WHEN NOT again THEN line END"))).cast("long").alias("n_near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """docs with their kept lines as text, and n_lines, n_dropped, n_near (each long)."""
     keyed = with_row_key(docs)
-    drops = written(dropped_lines(keyed.select("_id", "_h", "text")), "droppedlines")
+    drops = written(dropped_lines(keyed.select("_id", "_h", "text"), min_words, near_words), "droppedlines")
     joined = keyed.join(drops, ["_id", "_h"], "left")
     kept = F.expr("CASE WHEN dropped IS NULL THEN text ELSE array_join(filter(split(text, '\n', -1), (t, i) -> NOT array_contains(dropped, i)), '\n') END")
     n_lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long")

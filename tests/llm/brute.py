@@ -106,7 +106,7 @@ def kept_lines(rows, least: int, near: int) -> dict[int, str | None]:
             continue
         kept = []
         for line in text.split("\n"):
-            w = tuple(x for x in line.split(" ") if x)
+            w = tuple(x for x in re.split(r"[ \t\v\f\r]+", line) if x)
             again = len(w) >= least and (w in seen or len(w) >= near and any(within_one(w, x) for x in earlier if len(x) >= near))
             if len(w) >= least and w not in seen:
                 seen.add(w)
