@@ -2,11 +2,16 @@
 
 Those that depend on arrival order work on the order keys of the pipeline (see plans.pipeline.Order): $first and $last
 are a min_by and max_by, lists are sorted after they are collected, so a shuffle can't change a result.
+
+Those that keep n values of a group ($firstN, $lastN, $minN, $maxN, $topN, $bottomN) are Bounded: the rows of a group are
+ranked and cut to n before they are collected (Spark cuts each partition's groups ahead of the shuffle), and
+$addToSet is reduced to a group's distinct values first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column
@@ -18,6 +23,38 @@ from docspark.functions.expressions import expression, merged
 from docspark.functions.scope import Scope, type_rank
 
 
+@dataclass
+class Bounded:
+    """Of a group's rows, at most n in the order of `key` (None: distinct values, each by its first arrival) give `value`."""
+
+    value: Column
+    key: Column | None
+    n: int
+    from_top: bool = True
+    turned: bool = False
+    nulls: bool = True
+
+
+def bounded(spec: Any, scope: Scope, order: Column | None) -> Bounded | None:
+    """What a bounded accumulator keeps; None for the others."""
+    if not isinstance(spec, dict) or len(spec) != 1:
+        return None
+    name, operand = next(iter(spec.items()))
+    if name in ("$minN", "$maxN"):
+        n, value = _n(operand, {"input", "n"}), expression(operand["input"], scope)
+        return Bounded(value, value, n, name == "$minN", nulls=False)
+    if name not in ("$firstN", "$lastN", "$topN", "$bottomN", "$addToSet"):
+        return None
+    if order is None:
+        raise BadValue(f"{name} depends on arrival order: name it with order_by, or sort first")
+    if name == "$addToSet":
+        return Bounded(expression(operand, scope), None, 0)
+    if name in ("$firstN", "$lastN"):
+        return Bounded(expression(operand["input"], scope), order, _n(operand, {"input", "n"}), name == "$firstN", name == "$lastN")
+    n = _n(operand, {"output", "sortBy", "n"})
+    return Bounded(expression(operand["output"], scope), sort_key(operand["sortBy"], scope, order), n, name == "$topN", name == "$bottomN")
+
+
 def accumulator(spec: Any, scope: Scope, order: Column | None) -> Column:
     """The aggregate of {$name: operand}; order is the arrival key of a row."""
     if not isinstance(spec, dict) or len(spec) != 1:

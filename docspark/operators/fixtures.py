@@ -7,12 +7,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docspark.errors import BadValue
 from docspark.functions.canonical import canonical, sorted_keys
 from docspark.functions.filters import matches
-from docspark.functions.scope import Scope, quoted
+from docspark.functions.scope import HIDDEN, Scope, quoted
 from docspark.plans.pipeline import Flow, project, set_paths, shown, sort_columns, unset
+from docspark.sources.tables import written
 
 # The patterns of personal data, and the names that stand in for real ones.
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -81,7 +83,9 @@ def pii_lint(df: DataFrame, text: str | None = None) -> DataFrame:
     """df's columns and type, sample: the first finding of each type (email, phone, ssn) in each row's canonical JSON,
     or in one text column."""
     subject = F.col(quoted(text)) if text else canonical(df)
-    found = F.array(*[F.struct(F.lit(n).alias("type"), F.regexp_extract(subject, p, 0).alias("sample")) for n, p in (("email", EMAIL), ("phone", PHONE), ("ssn", SSN))])
+    # most texts have no @, and need no search for an address
+    sample = {"email": F.when(F.contains(subject, F.lit("@")), F.regexp_extract(subject, EMAIL, 0)), "phone": F.regexp_extract(subject, PHONE, 0), "ssn": F.regexp_extract(subject, SSN, 0)}
+    found = F.array(*[F.struct(F.lit(n).alias("type"), F.coalesce(s, F.lit("")).alias("sample")) for n, s in sample.items()])
     return df.select("*", F.inline(F.filter(found, lambda x: x["sample"] != "")))
 
 
@@ -181,3 +185,50 @@ def restore(target: DataFrame, rows: DataFrame, mode: str = "REPLACE", key: str
     return target.join(rows.select(key), key, "left_anti").unionByName(rows, allowMissingColumns=True)
 
 
+def schema_signatures(df: DataFrame) -> DataFrame:
+    """keys, n: each set of top-level fields that rows have a value in, as sorted names joined by commas. More than one
+    means documents of mixed shape."""
+    names = sorted(df.columns)
+    present = F.array(*[F.when(F.col(quoted(c)).isNotNull(), F.lit(c)) for c in names])
+    return df.groupBy(F.array_join(F.array_compact(present), ",").alias("keys")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def schema_hash(collections: dict[str, DataFrame]) -> DataFrame:
+    """One row, hash: sha256 of each collection's name, fields that any row has a value in, and number of rows, a line
+    each, collections and fields in the order of their names."""
+    parts = None
+    for place, name in enumerate(sorted(collections)):
+        df = collections[name]
+        fields = [F.when(F.count(F.col(quoted(c))) > 0, F.lit(c + "\n")) for c in sorted(df.columns)]
+        part = df.agg(F.concat(F.lit(name + "\n"), F.array_join(F.array_compact(F.array(*fields)), "") if fields else F.lit(""), F.lit("docs="), F.count(F.lit(1)).cast("string"), F.lit("\n")).alias("text")).withColumn("place", F.lit(place))
+        parts = part if parts is None else parts.union(part)
+    # one row for each collection
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    return parts.agg(F.sha2(F.array_join(listed, ""), 256).alias("hash"))
+
+
+def nearest_rank(df: DataFrame, column: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by, p, value: for each share p the value of rank ceil(n * p), at least 1, among the n that aren't NULL.
+
+    Equal values are counted before they are ranked. The running counts go over ranges of values (by a range shuffle), so
+    no group has to be in one task.
+    """
+    keys = by or []
+    counted = df.filter(F.col(quoted(column)).isNotNull()).groupBy(*keys, F.col(quoted(column)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    part, below = HIDDEN + "part", HIDDEN + "below"
+    ranged = written(counted.repartitionByRange(*[F.col(k) for k in keys], F.col("value")).withColumn(part, F.spark_partition_id()), "ranged")
+    # a row for each group in each range
+    totals = ranged.groupBy(*keys, part).agg(F.sum("n").alias("t"))
+    all_ = ranged.groupBy(*keys).agg(F.sum("n").alias("all"))
+    before = totals.withColumn(below, F.sum("t").over(Window.partitionBy(*keys).orderBy(part)) - F.col("t")).drop("t")
+    run = F.sum("n").over(Window.partitionBy(*keys, part).orderBy("value"))
+    rows = ranged.withColumn("to", run)
+    renamed = lambda d: d.withColumnsRenamed({k: HIDDEN + k for k in keys})
+    b, a = renamed(before).withColumnRenamed(part, part + "b"), renamed(all_)
+    on = lambda d: [F.col(quoted(k)).eqNullSafe(F.col(quoted(HIDDEN + k))) for k in keys]
+    rows = rows.join(b, [*on(b), F.col(part) == F.col(part + "b")]).drop(*[HIDDEN + k for k in keys])
+    rows = rows.join(a, on(a) or F.lit(True)).drop(*[HIDDEN + k for k in keys])
+    to = F.col("to") + F.col(below)
+    ranks = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(float(p)))).alias("rank")) for p in shares]))
+    hit = rows.select(*keys, "value", to.alias("to"), (to - F.col("n")).alias("from"), ranks.alias("x"))
+    return hit.filter((F.col("x.rank") > F.col("from")) & (F.col("x.rank") <= F.col("to"))).select(*keys, F.col("x.p").alias("p"), "value")

@@ -107,22 +107,25 @@ def lookup(flow: Flow, spec: Any) -> Flow:
         lists = other.groupBy(KEY).agg(_listed(name, HIDDEN + "o").alias(name))
         df = flow.df.drop(name).join(lists, _local(flow, spec).eqNullSafe(lists[KEY]), "left").drop(KEY)
         return flow.to(df.withColumn(name, F.coalesce(quoted(name), empty)))
-    left = flow.df.drop(name).withColumn(ROW, F.monotonically_increasing_id())
-    keys = left.select(ROW, F.explode(F.array_distinct(found[0])).alias(KEY + "l"))
+    # rows with the same array share a list, so the array itself is the key: a retried task can't number rows anew
+    left = flow.df.drop(name).withColumn(ROW, found[0])
+    keys = left.select(ROW).distinct().select(ROW, F.explode(F.array_distinct(ROW)).alias(KEY + "l"))
     hits = keys.join(other, F.col(KEY + "l").eqNullSafe(F.col(KEY))).dropDuplicates([ROW, name])
-    lists = hits.groupBy(ROW).agg(_listed(name, HIDDEN + "o").alias(name))
-    df = left.join(lists, ROW, "left").drop(ROW)
+    lists = hits.groupBy(ROW).agg(_listed(name, HIDDEN + "o").alias(name)).withColumnRenamed(ROW, ROW + "l")
+    df = left.join(lists, F.col(ROW).eqNullSafe(F.col(ROW + "l")), "left").drop(ROW, ROW + "l")
     return flow.to(df.withColumn(name, F.coalesce(quoted(name), empty)))
 
 
 def _correlated(flow: Flow, spec: dict) -> Flow:
     name, pipeline = spec["as"], list(spec["pipeline"])
-    left = flow.df.drop(name).withColumn(ROW, F.monotonically_increasing_id())
-    scope = Scope(left, flow.variables)
+    scope = Scope(flow.df.drop(name), flow.variables)
     bound = {HIDDEN + "v_" + v: expression(e, scope) for v, e in spec.get("let", {}).items()}
     if "localField" in spec:
         bound[KEY + "l"] = expression("$" + spec["localField"], scope)
-    outer = left.select(ROW, *[c.alias(v) for v, c in bound.items()])
+    # rows with the same bound values share a list, so these are the key: a retried task can't number rows anew
+    row = F.struct(*[c.alias(v) for v, c in bound.items()]) if bound else F.struct(F.lit(0).alias("none"))
+    left = flow.df.drop(name).withColumn(ROW, row)
+    outer = left.select(ROW).distinct().select(ROW, *[F.col(ROW).getField(v).alias(v) for v in bound])
     other = flow.collections[spec["from"]]
     variables = {v: F.col(HIDDEN + "v_" + v) for v in spec.get("let", {})}
     both = Scope(outer.crossJoin(other), variables)  # for the types of the condition alone; it is never run
@@ -137,7 +140,9 @@ def _correlated(flow: Flow, spec: dict) -> Flow:
     rows = inner.df.select(ROW, F.struct(*[F.col(quoted(c)) for c in inner.shown()]).alias(name), (inner.order if inner.order is not None else F.lit(0)).alias(HIDDEN + "o"))
     lists = rows.groupBy(ROW).agg(_listed(name, HIDDEN + "o").alias(name))
     empty = F.array().cast(lists.schema[name].dataType)
-    return flow.to(left.join(lists, ROW, "left").drop(ROW).withColumn(name, F.coalesce(quoted(name), empty)))
+    lists = lists.withColumnRenamed(ROW, ROW + "l")
+    df = left.join(lists, F.col(ROW).eqNullSafe(F.col(ROW + "l")), "left").drop(ROW, ROW + "l")
+    return flow.to(df.withColumn(name, F.coalesce(quoted(name), empty)))
 
 
 def _condition(filter_: dict, scope: Scope) -> Column:
@@ -172,6 +177,14 @@ def _per_row(inner: Flow, stage: dict) -> Flow:
         return inner.to(inner.df.groupBy(ROW, expression(spec["_id"], inner.scope).alias("_id")).agg(*made or [F.count("*").alias(HIDDEN + "n")]))
     if name == "$count":
         return inner.to(inner.df.groupBy(ROW).agg(F.count("*").alias(spec)))
+    if name == "$sortByCount":
+        counted = inner.df.groupBy(ROW, expression(spec, inner.scope).alias("_id")).agg(F.count("*").alias("count"))
+        return inner.to(sort(inner.to(counted), {"count": -1, "_id": 1}).df)
+    if name == "$lookup":
+        # ROW is a hidden column of the rows, so an inner lookup keeps it; its own key takes another place
+        own = inner.df.withColumnRenamed(ROW, ROW + "outer")
+        done = lookup(inner.to(own), spec)
+        return done.to(done.df.withColumnRenamed(ROW + "outer", ROW))
     raise Unsupported(f"{name} in a $lookup pipeline")
 
 

@@ -13,12 +13,14 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from docspark.errors import BadValue, DuplicateKey, ImmutableField, Unsupported
 from docspark.functions.expressions import literal
 from docspark.functions.filters import field_test, is_operators, matches
-from docspark.functions.scope import HIDDEN, Scope, quoted, split_path, without_path
+from docspark.functions.scope import HIDDEN, Scope, descend, quoted, split_path, with_path, without_path
 from docspark.plans.pipeline import Flow, run, set_paths
+from docspark.sources.tables import written
 
 _ORDER = ["$set", "$setOnInsert", "$inc", "$min", "$max", "$unset", "$addToSet"]
 _STAGES = {"$addFields", "$set", "$project", "$unset", "$replaceRoot", "$replaceWith"}
@@ -60,10 +62,19 @@ def update(df: DataFrame, filter_: dict, change: Any, array_filters: list[dict]
 
 
 def _first_hit(df: DataFrame, filter_: dict, one_by: list[str]) -> DataFrame:
+    """HIT marks the first match in the order of these columns; of matches that are equal in them, one."""
     key = F.struct(*[F.col(quoted(c)) for c in one_by])
-    first = df.filter(matches(filter_, Scope(df))).agg(F.min(key).alias(HIDDEN + "first"))
+    matching = matches(filter_, Scope(df))
+    first = df.filter(matching).agg(F.min(key).alias(HIDDEN + "first"))
     # one row, so the join is a broadcast of a bound size
-    return df.join(F.broadcast(first), F.lit(True), "left").withColumn(HIT, F.coalesce(key == F.col(HIDDEN + "first"), F.lit(False))).drop(HIDDEN + "first")
+    marked = df.withColumn(HIT, matching).join(F.broadcast(first), F.lit(True), "left").withColumn(HIT, F.coalesce(F.col(HIT) & (key == F.col(HIDDEN + "first")), F.lit(False))).drop(HIDDEN + "first")
+    if one_by == ["_id"]:
+        return marked  # _id is unique
+    # among equals, the one whose whole row is least; only equals are ranked
+    names = [c for c in df.columns if not c.startswith(HIDDEN)]
+    among = Window.partitionBy(HIT).orderBy(F.xxhash64(*[F.to_json(F.struct(F.col(quoted(c)))) for c in names]))
+    tied = marked.filter(F.col(HIT)).withColumn(HIDDEN + "n", F.row_number().over(among)).withColumn(HIT, F.col(HIDDEN + "n") == 1).drop(HIDDEN + "n")
+    return marked.filter(~F.col(HIT)).unionByName(tied)
 
 
 def _changed(df: DataFrame, change: Any, array_filters: list[dict]) -> DataFrame:
@@ -75,7 +86,7 @@ def _changed(df: DataFrame, change: Any, array_filters: list[dict]) -> DataFrame
         for path, operand in change[name].items():
             if "$[" in path:
                 first, column = _array_change(df, name, path, operand, array_filters, values)
-                values[first] = F.when(hit, column).otherwise(F.col(quoted(first)))
+                values[first] = column
                 continue
             if name == "$unset":
                 first, *rest = split_path(path)
@@ -120,28 +131,55 @@ def _value(name: str, old: Column, kind: T.DataType, operand: Any) -> Column:
 
 
 def _array_change(df: DataFrame, name: str, path: str, operand: Any, array_filters: list[dict], values: dict[str, Column]) -> tuple[str, Column]:
-    """$set or $unset of items.$[id].field for the elements that pass the filter of id."""
+    """$set or $unset at a path with $[id] steps (items.$[e].sub.q, items.$[e].parts.$[f].n): the elements that pass the
+    filter of the id in the rows that are HIT, whatever the depth."""
     if name not in ("$set", "$unset"):
         raise Unsupported("array filters go with $set and $unset")
-    found = re.fullmatch(r"(\w+)\.\$\[(\w+)\](?:\.(\w+))?", path)
-    head, tag, tail = found.groups() if found else (None, None, None)
-    if head is None or not isinstance(df.schema[head].dataType, T.ArrayType):
+    head, *steps = path.split(".")
+    if head not in df.columns or not head or not all(steps):
         raise Unsupported(f"array path {path}")
-    wanted = {k.partition(".")[2]: v for f in array_filters for k, v in f.items() if k.partition(".")[0] == tag}
-    if not wanted:
-        raise BadValue(f"no array filter for {tag}")
-    kind = df.schema[head].dataType.elementType
-
-    def change(x: Column) -> Column:
-        test = reduce(lambda a, b: a & b, [F.coalesce(field_test((x.getField(p), kind[p].dataType) if p in kind.names else None, [], v) if p else field_test((x, kind), [], v), F.lit(False)) for p, v in wanted.items()])
-        if tail is None:
-            return F.when(test, literal(operand) if name == "$set" else F.lit(None)).otherwise(x)
-        fields = [F.when(test, literal(operand) if name == "$set" else F.lit(None)).otherwise(x.getField(f)).alias(f) if f == tail else x.getField(f).alias(f) for f in kind.names]
-        if tail not in kind.names and name == "$set":
-            fields.append(F.when(test, literal(operand)).alias(tail))
-        return F.struct(*fields)
-
-    return head, F.transform(values.get(head, F.col(quoted(head))), change)
+    value = literal(operand) if name == "$set" else F.lit(None)
+    column = values.get(head, F.col(quoted(head)))
+    return head, _changed_at(column, Scope(df).dtype(column), steps, value, name == "$set", array_filters, path)
+
+
+def _changed_at(column: Column, kind: T.DataType, steps: list[str], value: Column, make: bool, array_filters: list[dict], path: str) -> Column:
+    if not steps:
+        return value
+    step, *rest = steps
+    if (tag := re.fullmatch(r"\$\[(\w+)\]", step)) is not None:
+        if not isinstance(kind, T.ArrayType):
+            raise Unsupported(f"array path {path}")
+        wanted = {k.partition(".")[2]: v for f in array_filters for k, v in f.items() if k.partition(".")[0] == tag[1]}
+        if not wanted:
+            raise BadValue(f"no array filter for {tag[1]}")
+        each = kind.elementType
+
+        def change(x: Column) -> Column:
+            tests = [F.coalesce(field_test(descend(x, each, p.split(".")) if p else (x, each), [], v), F.lit(False)) for p, v in wanted.items()]
+            return F.when(reduce(lambda a, b: a & b, tests, F.col(HIT)), _changed_at(x, each, rest, value, make, array_filters, path)).otherwise(_widened(x, each, rest, value, make))
+
+        return F.transform(column, change)
+    if not isinstance(kind, T.StructType):
+        raise Unsupported(f"array path {path}")
+    fields = [(_changed_at(column.getField(f.name), f.dataType, rest, value, make, array_filters, path) if f.name == step else column.getField(f.name)).alias(f.name) for f in kind.fields]
+    if step not in kind.names and make:
+        if any("$" in r for r in rest):
+            raise Unsupported(f"array path {path}")
+        fields.append(with_path(None, None, rest, value).alias(step))
+    return F.when(column.isNotNull(), F.struct(*fields))
+
+
+def _widened(x: Column, kind: T.DataType, steps: list[str], value: Column, make: bool) -> Column:
+    """An element that isn't changed, in the shape of those that are: a field that is new to them is NULL."""
+    if not steps or not make or not isinstance(kind, T.StructType) or "$" in steps[0]:
+        return x
+    step, *rest = steps
+    if step in kind.names:
+        fields = [(_widened(x.getField(f.name), f.dataType, rest, value, make) if f.name == step else x.getField(f.name)).alias(f.name) for f in kind.fields]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    gone = F.when(F.lit(False), with_path(None, None, rest, value))
+    return F.when(x.isNotNull(), F.struct(*[x.getField(f).alias(f) for f in kind.names], gone.alias(step)))
 
 
 def _rewritten(df: DataFrame, change: Any) -> DataFrame:
@@ -198,10 +236,22 @@ def delete(df: DataFrame, filter_: dict, one_by: list[str] | None = None) -> Dat
     return hit.filter(~F.coalesce(F.col(HIT), F.lit(False))).drop(HIT)
 
 
+def with_ids(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """rows with an _id in each: 24 hexadecimal digits where it is missing, fixed by writing them."""
+    if "_id" in rows.columns and not rows.filter("_id IS NULL").take(1):
+        return rows
+    kind = like.schema["_id"].dataType if "_id" in like.columns else rows.schema["_id"].dataType if "_id" in rows.columns else T.StringType()
+    if not isinstance(kind, (T.StringType, T.NullType)):
+        raise BadValue(f"rows without _id go with text ids, not {kind.simpleString()}")
+    made = F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 24)
+    own = F.coalesce(F.col("_id").cast("string"), made) if "_id" in rows.columns else made
+    return written(rows.select(own.alias("_id"), *[F.col(quoted(c)) for c in rows.columns if c != "_id"]), "inserted")
+
+
 def insert(df: DataFrame, rows: DataFrame, unique: list[list[str]] | None = None) -> DataFrame:
-    """df and rows, if the unique keys (at least _id) allow it."""
-    both = df.unionByName(rows, allowMissingColumns=True)
-    for key in [*([["_id"]] if "_id" in both.columns else []), *(unique or [])]:
+    """df and rows, if the unique keys (at least _id) allow it; rows without an _id get one."""
+    both = df.unionByName(with_ids(rows, df), allowMissingColumns=True)
+    for key in [["_id"], *(unique or [])]:
         check_unique(both, key)
     return both
 

@@ -18,12 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docspark.errors import BadValue, Unsupported
-from docspark.functions.accumulators import accumulator, sort_key
+from docspark.functions.accumulators import Bounded, accumulator, bounded, sort_key
 from docspark.functions.expressions import expression
 from docspark.functions.filters import matches
 from docspark.functions.scope import HIDDEN, Scope, quoted, split_path, with_path, without_path
 
-ORDER = HIDDEN + "order"
+ORDER, GROUP = HIDDEN + "order", HIDDEN + "group"
 Collections = Mapping[str, DataFrame]
 
 
@@ -51,11 +51,11 @@ class Flow:
         return Flow(df, self.collections, self.variables)
 
 
-def aggregate(df: DataFrame, pipeline: list[dict], collections: Collections | None = None, order_by: list[str] | None = None) -> DataFrame:
-    """The result of a pipeline; collections are the other DataFrames that its stages may name."""
+def aggregate(df: DataFrame, pipeline: list[dict], collections: Collections | None = None, order_by: list[str] | None = None, variables: dict[str, Column] | None = None) -> DataFrame:
+    """The result of a pipeline; collections are the other DataFrames that its stages may name, variables what $$name is."""
     if order_by:
         df = df.withColumn(ORDER, F.struct(*[F.col(c) for c in order_by]))
-    return shown(run(Flow(df, {} if collections is None else collections, {}), pipeline).df)
+    return shown(run(Flow(df, {} if collections is None else collections, variables or {}), pipeline).df)
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -180,12 +180,31 @@ def group(flow: Flow, spec: Any) -> Flow:
         raise BadValue("$group takes _id")
     scope, order = flow.scope, flow.order
     key = expression(spec["_id"], scope)
-    made = [accumulator(v, scope, order).alias(k) for k, v in spec.items() if k != "_id"]
+    kept = {k: b for k, v in spec.items() if k != "_id" and (b := bounded(v, scope, order)) is not None}
+    made = [accumulator(v, scope, order).alias(k) for k, v in spec.items() if k != "_id" and k not in kept]
     if order is not None:
         made.append(F.min(order).alias(ORDER))
-    if not made:
-        return flow.to(flow.df.select(key.alias("_id")).distinct())
-    return flow.to(flow.df.groupBy(key.alias("_id")).agg(*made))
+    if made:
+        out = flow.df.groupBy(key.alias("_id")).agg(*made)
+    else:
+        out = flow.df.select(key.alias("_id")).distinct()
+    for name, what in kept.items():
+        lists = _kept(flow.df.select(key.alias(GROUP), what.value.alias("v"), (what.key if what.key is not None else order).alias("o")), what).withColumnRenamed("v", name)
+        out = out.join(lists, out["_id"].eqNullSafe(lists[GROUP]), "left").drop(GROUP)
+        out = out.withColumn(name, F.coalesce(quoted(name), F.array().cast(lists.schema[name].dataType)))
+    return flow.to(out.select("_id", *[F.col(quoted(k)) for k in spec if k != "_id"], *([ORDER] if order is not None else [])))
+
+
+def _kept(rows: DataFrame, what: Bounded) -> DataFrame:
+    """GROUP and v: the list that a bounded accumulator gives, from rows of GROUP, v (value) and o (key)."""
+    if what.key is None:
+        rows = rows.groupBy(GROUP, "v").agg(F.min("o").alias("o"))
+    else:
+        rows = rows if what.nulls else rows.filter(F.col("v").isNotNull())
+        within = Window.partitionBy(GROUP).orderBy(F.col("o").asc() if what.from_top else F.col("o").desc())
+        rows = rows.withColumn(GROUP + "n", F.row_number().over(within)).filter(F.col(GROUP + "n") <= what.n)
+    listed = F.sort_array(F.collect_list(F.struct("o", "v")), asc=what.from_top or what.turned)
+    return rows.groupBy(GROUP).agg(F.transform(listed, lambda x: x["v"]).alias("v"))
 
 
 def sort_by_count(flow: Flow, spec: Any) -> Flow:

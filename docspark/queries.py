@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from docspark.operators import fixtures, updates
 from docspark.plans.collection import Collection, Index
 from docspark.plans.pipeline import aggregate
+from docspark.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,3 +442,215 @@ def match_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.parse_json("props")
     typed = table(spark, sf_dir, "events").select("event_id", F.try_variant_get(doc, "$.k", "int").alias("k"))
     return aggregate(typed, [{"$match": {"k": {"$gte": 50}}}])
+
+
+# ---- more reads ----
+
+_pipeline("expr_root", "customer", [{"$project": {"c_custkey": 1, "doc": "$$ROOT", "same": "$$CURRENT.c_name"}}, {"$project": {"c_custkey": 1, "same": 1, "name": "$doc.c_name", "nation": "$doc.c_nationkey"}}], "SELECT c_custkey, c_name AS same, c_name AS name, c_nationkey AS nation FROM customer")
+_pipeline("expr_array", "part", [{"$project": {"p_partkey": 1, "a": ["$p_size", {"$add": ["$p_size", 1]}, 7]}}, {"$unwind": {"path": "$a", "includeArrayIndex": "i"}}], "SELECT p_partkey, unnest([p_size, p_size + 1, 7]) AS a, unnest([0, 1, 2]) AS i FROM part")
+_find("match_expr_not", "part", {"$expr": {"$not": [{"$or": [{"$eq": ["$p_brand", {"$literal": "Brand#11"}]}, {"$gt": ["$p_size", 20]}]}]}}, "NOT (p_brand = 'Brand#11' OR p_size > 20)", "p_partkey")
+_pipeline("lookup_nested", "customer", [{"$match": {"c_custkey": {"$lte": 100}}}, {"$lookup": {"from": "nation", "let": {"n": "$c_nationkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$n_nationkey", "$$n"]}}}, {"$lookup": {"from": "region", "localField": "n_regionkey", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}, {"$project": {"n_name": 1, "region": "$r.r_name"}}], "as": "n"}}, {"$unwind": "$n"}, {"$project": {"c_custkey": 1, "nation": "$n.n_name", "region": "$n.region"}}], "SELECT c_custkey, n_name AS nation, r_name AS region FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey <= 100")
+_pipeline("lookup_sort_by_count", "nation", [{"$lookup": {"from": "customer", "let": {"n": "$n_nationkey"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$c_nationkey", "$$n"]}}}, {"$sortByCount": "$c_mktsegment"}, {"$limit": 1}], "as": "top"}}, {"$unwind": "$top"}, {"$project": {"n_nationkey": 1, "segment": "$top._id", "n": "$top.count"}}], "SELECT n_nationkey, segment, n FROM (SELECT n_nationkey, c_mktsegment AS segment, count(*) AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY n DESC, segment) = 1")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> Collection:
+    return Collection(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"])
+
+
+_DEAREST = "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)"
+
+
+@_query("find_one", f"SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = {_DEAREST}")
+def find_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return spark.createDataFrame([orders.find_one({"o_orderstatus": "F"}, sort={"o_totalprice": -1})], orders.df.schema)
+
+
+@_query("find_one_and_delete", f"SELECT o_orderkey FROM orders WHERE o_orderkey <> {_DEAREST}")
+def find_one_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).find_one_and_delete({"o_orderstatus": "F"}, sort={"o_totalprice": -1})[1].df.select("o_orderkey")
+
+
+@_query("find_one_and_update", f"SELECT o_orderkey, CASE WHEN o_orderkey = {_DEAREST} THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def find_one_and_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row, then = _orders(spark, sf_dir).find_one_and_update({"o_orderstatus": "F"}, {"$set": {"o_orderstatus": "X"}}, sort={"o_totalprice": -1}, new=True, fields={"o_orderstatus": 1})
+    if row is None or row.asDict() != {"o_orderstatus": "X"}:
+        raise ValueError(f"the row is {row}")
+    return then.df.select("o_orderkey", "o_orderstatus")
+
+
+@_query("find_one_and_replace", "SELECT s_suppkey, CASE WHEN s_suppkey = 3 THEN 'new' ELSE s_name END AS s_name, CASE WHEN s_suppkey <> 3 THEN s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT -1, 'added', NULL")
+def find_one_and_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    _, then = Collection(rows, ["s_suppkey"]).find_one_and_replace({"s_suppkey": 3}, {"s_suppkey": 3, "s_name": "new"})
+    return then.find_one_and_replace({"s_suppkey": -1}, {"s_suppkey": -1, "s_name": "added"}, upsert=True)[1].df
+
+
+@_query("estimated_count", "SELECT count(*) AS n FROM lineitem")
+def estimated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Collection(table(spark, sf_dir, "lineitem"), ["l_orderkey"]).estimated_count()
+
+
+@_query("find_let", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000")
+def find_let(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).find({"$expr": {"$gt": ["$o_totalprice", "$$least"]}}, {"_id": 0, "o_orderkey": 1}, let={"least": 250000})
+
+
+@_query("aggregate_collation", "SELECT lower(p_brand) AS brand, count(*) AS n FROM part WHERE lower(p_brand) >= 'brand#3' GROUP BY 1")
+def aggregate_collation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = Collection(table(spark, sf_dir, "part"), ["p_partkey"])
+    out = part.aggregate([{"$match": {"p_brand": {"$gte": "BRAND#3"}}}, {"$group": {"_id": "$p_brand", "n": {"$sum": 1}}}], collation={"locale": "en", "strength": 2})
+    return out.select(F.lower(F.collate("_id", "UTF8_BINARY")).alias("brand"), "n")
+
+
+@_query("pipeline_out", "SELECT c_nationkey AS _id, count(*) AS n FROM customer GROUP BY 1")
+def pipeline_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Collection(table(spark, sf_dir, "customer"), ["c_custkey"]).aggregate([{"$group": {"_id": "$c_nationkey", "n": {"$sum": 1}}}, {"$out": "counts"}])
+
+
+@_query("pipeline_merge", "SELECT n_nationkey AS _id, n_name AS name, n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey")
+def pipeline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("_id"), F.col("n_name").alias("name"))
+    customers = Collection(table(spark, sf_dir, "customer").withColumn("c_nationkey", F.col("c_nationkey").cast("long")), ["c_custkey"], collections={"nations": nations})
+    return customers.aggregate([{"$group": {"_id": "$c_nationkey", "n": {"$sum": 1}}}, {"$merge": {"into": "nations", "on": "_id"}}])
+
+
+# ---- more writes ----
+
+
+@_query("replace_one", "SELECT s_suppkey, CASE WHEN s_suppkey = 2 THEN 'replaced' ELSE s_name END AS s_name, CASE WHEN s_suppkey <> 2 THEN s_acctbal END AS s_acctbal FROM supplier")
+def replace_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    return Collection(rows, ["s_suppkey"]).replace_one({"s_suppkey": 2}, {"s_suppkey": 2, "s_name": "replaced"}).df
+
+
+@_query("update_order", "SELECT p_partkey, p_size + 1 AS p_size, least(p_retailprice, 1000.0) AS p_retailprice, 'set' AS p_brand, NULL::VARCHAR AS p_name FROM part")
+def update_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several operators in one update, named in another order than they apply in."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand", "p_name")
+    return Collection(rows, ["p_partkey"]).update_many({}, {"$unset": {"p_name": 1}, "$min": {"p_retailprice": 1000.0}, "$inc": {"p_size": 1}, "$set": {"p_brand": "set"}}).df
+
+
+@_query("update_one_tie", "SELECT o_orderstatus, count(*) - CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS n FROM orders GROUP BY 1 UNION ALL SELECT 'X', 1")
+def update_one_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row changes, though many are equal in the arrival order."""
+    orders = Collection(_orders(spark, sf_dir).df, ["o_orderstatus"]).update_one({"o_orderstatus": "F"}, {"$set": {"o_orderstatus": "X"}})
+    return orders.df.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("update_array_filters_deep", f"{_ARRAYS} SELECT _id, i.price AS price, CASE WHEN i.price >= 400000 THEN 'X' ELSE i.status END AS code, CASE WHEN i.price >= 400000 THEN 1 END AS seen FROM (SELECT _id, unnest(items) AS i FROM a)")
+def update_array_filters_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = aggregate(_arrays(spark, sf_dir), [{"$unset": "tags"}]).withColumn("items", F.transform("items", lambda x: F.struct(x["price"].alias("price"), F.struct(x["status"].alias("code")).alias("sub"))))
+    out = Collection(nested).update_many({}, {"$set": {"items.$[e].sub.code": "X", "items.$[e].sub.seen": 1}}, [{"e.price": {"$gte": 400000}}])
+    return out.df.select("_id", F.inline("items")).select("_id", "price", "sub.code", "sub.seen")
+
+
+@_query(
+    "bulk_result",
+    "SELECT 1 AS inserted, (SELECT count(*) FROM supplier WHERE s_suppkey > 5) + 2 AS matched, (SELECT count(*) FROM supplier WHERE s_suppkey > 5) + 1 AS modified, (SELECT count(*) FROM supplier WHERE s_suppkey = 4) AS deleted, 1 AS upserted, 1 AS errors, (SELECT count(*) FROM supplier) + 1 AS n",
+)
+def bulk_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"), F.lit(0).alias("seen"))
+    then, counts = Collection(rows).bulk_result(
+        [
+            {"insertOne": {"document": {"_id": -1, "name": "new"}}},
+            {"updateMany": {"filter": {"_id": {"$gt": 5}}, "update": {"$inc": {"seen": 1}}}},
+            {"updateOne": {"filter": {"_id": 1}, "update": {"$set": {"seen": 0}}}},
+            {"replaceOne": {"filter": {"_id": 2}, "replacement": {"name": "other"}}},
+            {"deleteOne": {"filter": {"_id": 4}}},
+            {"updateOne": {"filter": {"_id": -7}, "update": {"$set": {"name": "upserted"}}, "upsert": True}},
+            {"insertOne": {"document": {"_id": 1, "name": "again"}}},
+            {"deleteMany": {"filter": {}}},
+        ]
+    )
+    return spark.range(1).select(*[F.lit(v if k != "errors" else len(v)).cast("long").alias(k) for k, v in counts.items()], F.lit(then.df.count()).alias("n"))
+
+
+@_query("insert_ids", "SELECT count(*) * 2 AS n, count(*) * 2 AS ids, 24 AS digits FROM supplier")
+def insert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without _id get one each."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    both = Collection(updates.with_ids(rows, rows)).insert(rows).df
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("_id").alias("ids"), F.max(F.length("_id")).alias("digits"))
+
+
+@_query("create_index", "SELECT s_suppkey AS _id, s_name AS name FROM supplier UNION ALL SELECT -1 - s_suppkey, NULL FROM supplier")
+def create_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A unique sparse index on name, which rows without a name pass, and a partial one."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("_id"), F.col("s_name").alias("name"))
+    held = Collection(rows).create_index(Index(["name"], unique=True, sparse=True)).create_index(Index(["name"], unique=True, partial={"_id": {"$gt": 0}}))
+    return held.insert(rows.select((-1 - F.col("_id")).alias("_id"), F.lit(None).cast("string").alias("name"))).df
+
+
+# ---- more data quality, files ----
+
+
+@_query(
+    "sanitize_fake_more",
+    """WITH h AS (SELECT c_custkey, sha256('seed::fake::' || c_name) AS a, sha256('seed::fake::' || c_mktsegment) AS b FROM customer),
+    g AS (SELECT *, substr(repeat(regexp_replace(a, '[a-f]', '', 'g'), 10), 1, 10) AS d,
+        [CAST(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS BIGINT) for t in [b, b || 'x']] AS k FROM h),
+    n AS (SELECT *, list_transform(k, lambda x: abs(CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END) % 8 + 1) AS j FROM g)
+    SELECT c_custkey, '+1-555-' || substr(d, 1, 3) || '-' || substr(d, 4, 7) AS c_name, ['Alex', 'Casey', 'Jordan', 'Taylor', 'Morgan', 'Riley', 'Avery', 'Parker'][j[1]] || ' ' || ['Kim', 'Lee', 'Park', 'Choi', 'Jung', 'Han', 'Seo', 'Kang'][j[2]] AS c_mktsegment FROM n""",
+)
+def sanitize_fake_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", "c_nationkey")
+    return fixtures.sanitize(rows, [{"path": "c_name", "action": "fake", "fakeType": "phone"}, {"path": "c_mktsegment", "action": "fake", "fakeType": "name"}, {"path": "c_acctbal", "action": "drop"}], "seed", volatile=["c_nationkey"])
+
+
+@_query("canonical_json", """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || ',"nothing":null}' AS value FROM nation""")
+def canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.canonical_json(table(spark, sf_dir, "nation").select(F.lit(None).cast("string").alias("nothing"), "n_regionkey", "n_nationkey", "n_name"))
+
+
+@_query("ndjson_round_trip", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def ndjson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = tables.new_path(spark, "ndjson")
+    tables.write_ndjson(rows, path)
+    return tables.read_ndjson(spark, path, rows.schema)
+
+
+@_query("bundle_round_trip", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bundle whose fast copy is spoiled: the portable one is read."""
+    path = tables.new_path(spark, "bundle")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    tables.write_bundle({"app.supplier": rows}, path, "1")
+    rows.limit(1).write.mode("overwrite").parquet(f"{path}/fast/app.supplier")
+    return tables.read_bundle(spark, path, "1")["app.supplier"]
+
+
+_DIFF = "d AS (SELECT CASE WHEN x._id IS NULL THEN 'added' WHEN y._id IS NULL THEN 'removed' WHEN x.brand IS NOT DISTINCT FROM y.brand AND x.size = y.size THEN 'unchanged' ELSE 'changed' END AS status, x._id IS NOT NULL AND y._id IS NOT NULL AND x.brand IS NOT NULL AND y.brand IS NULL AS dropped FROM x FULL JOIN y ON x._id = y._id) "
+
+
+@_query("diff_summary", f"{_VERSIONS}, {_DIFF} SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'removed') AS removed, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'unchanged') AS unchanged, bool_or(status = 'removed' OR dropped) AS requires_approval FROM d")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.diff_summary(*_versions(spark, sf_dir))
+
+
+@_query(
+    "drift_score",
+    f"""WITH f AS ({ORACLE_SQL["drift_fields"]}), r AS ({_VERSIONS} SELECT round(abs((SELECT count(*) FROM y) - count(*)) / greatest(1, count(*)), 4) AS row_delta FROM x),
+    m AS (SELECT row_delta, round(avg(null_delta), 4) AS avg_null, round(avg(cardinality_delta), 4) AS avg_cardinality, round(max(distribution_delta), 4) AS max_distribution FROM f, r GROUP BY row_delta),
+    s AS (SELECT *, round(row_delta * 0.4 + avg_null * 0.2 + avg_cardinality * 0.2 + max_distribution * 0.2, 4) AS score FROM m)
+    SELECT *, CASE WHEN score >= 0.3 THEN 'FAIL' WHEN score >= 0.15 THEN 'WARN' ELSE 'OK' END AS status FROM s""",
+)
+def drift_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.drift_score(*_versions(spark, sf_dir))
+
+
+@_query("schema_hash", "SELECT sha256('app.part\nbrand\nid\ndocs=' || (SELECT count(*) FROM part) || '\napp.supplier\ns_name\ns_suppkey\ndocs=' || (SELECT count(*) FROM supplier) || '\n') AS hash".replace("\n", "' || chr(10) || '"))
+def schema_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.lit(None).cast("int").alias("none"))
+    return fixtures.schema_hash({"app.supplier": table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "app.part": part})
+
+
+@_query("schema_signatures", "SELECT CASE WHEN p_size > 25 THEN 'p_brand,p_partkey' ELSE 'p_partkey' END AS keys, count(*) AS n FROM part GROUP BY 1")
+def schema_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.schema_signatures(table(spark, sf_dir, "part").select("p_partkey", F.expr("CASE WHEN p_size > 25 THEN p_brand END AS p_brand")))
+
+
+@_query("nearest_rank", "SELECT l_returnflag, p, v[greatest(1, CAST(ceil(len(v) * p) AS BIGINT))] AS value FROM (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY 1), (SELECT unnest([0.0::DOUBLE, 0.5, 0.95, 1.0]) AS p)")
+def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.nearest_rank(table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.0, 0.5, 0.95, 1.0], by=["l_returnflag"])
