@@ -34,7 +34,9 @@ from docspark.llm.common import new_folder, small, uncollected, with_row_key, wr
 
 ID_BYTES = 2
 END_ID = 1
-DOCS_PER_SHARD = 10_000
+#: Bytes of text that go to a shard, and shards whose starts are summed up together.
+SHARD_BYTES = 32 * 2**20
+SHARDS_AT_ONCE = 1000
 KEPT_PIECES = 900_000
 _MAGIC = b"DSIDX001"
 
@@ -225,8 +227,8 @@ def _tokenizer(path: str) -> PieceTokenizer:
 def write_ids(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Writes the files. The key table: shard, path, doc_id, _id, _h, copy."""
     folder = new_folder(docs.sparkSession, "ids")
-    rows = docs.count()
-    n = max(1, min(rows, max(32, rows // DOCS_PER_SHARD)))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, min(rows, size // SHARD_BYTES))
     docs = with_row_key(docs.select(F.col("doc_id").cast("long"), "text")).withColumn("text", F.coalesce("text", F.lit("")))
     # both columns have the order of doc_id, so the shards have it too
     dealt = docs.repartitionByRange(n, "_id", "_h").sortWithinPartitions("_id", "_h")
@@ -286,7 +288,10 @@ def id_digests(keys: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, read back from the files."""
     crc = _reader(lambda ids: {"ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]})
     read = written(keys.repartition("shard").mapInPandas(crc, "shard int, doc_id long, local long, n_tokens long, shard_ids long, ids_crc32 long"), "read")
-    # one row a shard, so the running sum is over few rows
-    sizes = read.groupBy("shard").agg(F.first("shard_ids").alias("n"))
-    base = written(sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base")), "bases")
+    # one row a shard: running sums within blocks of shards, and over the blocks
+    sizes = written(read.groupBy("shard").agg(F.first("shard_ids").alias("n")).withColumn("block", F.floor(F.col("shard") / SHARDS_AT_ONCE)), "sizes")
+    blocks = sizes.groupBy("block").agg(F.sum("n").alias("all"))
+    blocks = blocks.select("block", (F.sum("all").over(Window.orderBy("block")) - F.col("all")).alias("before"))
+    within = F.sum("n").over(Window.partitionBy("block").orderBy("shard")) - F.col("n")
+    base = written(sizes.withColumn("within", within).join(blocks, "block").select("shard", (F.col("before") + F.col("within")).alias("base")), "bases")
     return read.join(small(base), "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

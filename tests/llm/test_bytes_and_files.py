@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from docspark.llm import byte_bpe, token_files
 from docspark.llm.byte_bpe import decoded, encoded, load_ranks
 from docspark.llm.token_files import PerfectHash, Shard, id_digests, read_ids, write_ids
 
@@ -71,3 +72,32 @@ def test_token_files_odd_rows(spark):
 def test_perfect_hash():
     keys = np.random.default_rng(1).integers(0, 2**63, (20_000, 3)).astype(np.uint64)
     assert sorted(PerfectHash.build(keys).slots(keys)) == list(range(20_000))
+
+
+def test_many_shards(docs, texts, monkeypatch):
+    path = P.path("word_bpe_49k.json")
+    one = sorted(map(tuple, id_digests(write_ids(docs, path)).collect()))
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 600)
+    monkeypatch.setattr(token_files, "SHARDS_AT_ONCE", 3)
+    keys = write_ids(docs, path)
+    assert keys.select("shard").distinct().count() > 10
+    assert sorted(map(tuple, id_digests(keys).collect())) == one
+
+
+def test_tables_that_forget(texts, monkeypatch):
+    """The tables of pieces drop their older half; ids stay right."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(byte_bpe, "KEPT", 50)
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 50)
+    ranks = load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    codec, library = byte_bpe.Codec(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    other = byte_bpe.Codec(ranks, r"\p{L}+|\P{L}+")
+    pieces, whole = token_files.PieceTokenizer(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    by_letters = tiktoken.Encoding("letters", pat_str=r"\p{L}+|\P{L}+", mergeable_ranks=ranks, special_tokens={})
+    for at in range(0, len(texts), 9):
+        part = [t or "" for _, t in texts[at : at + 9]]
+        assert list(codec(part)) == [library.encode_ordinary(t) for t in part]
+        assert list(other(part)) == [by_letters.encode_ordinary(t) for t in part]
+        assert [np.frombuffer(b, "<u2").tolist() for b in pieces(part)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in part]

@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from brute import contaminated, kept_lines, near_groups
 
+from docspark.llm import common
 from docspark.llm.line_dedup import MIN_WORDS, NEAR_WORDS
 
 
@@ -32,6 +33,24 @@ def test_odd_rows(spark, sf):
             assert stage(spark, docs, sf).count() <= docs.count()
 
 
+def test_long_texts_and_no_broadcasts(spark, sf, monkeypatch):
+    long = "\n".join(" ".join(f"w{k * j % 9973}" for j in range(40)) for k in range(2000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + "\nthe end", "en", "s", len(long) + 8), (3, "x" * 400_000, "en", "s", 400_000)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 30").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("doc_id + 10000 AS doc_id", "text", "lang", "source", "n_chars"))
+
+    def results():
+        out, now = [], docs
+        for _, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, sf)
+            out.append(sorted(map(str, now.collect())))
+        return out
+
+    whole = results()
+    assert all(whole) and sum("10002" in r for r in whole[2]) == 0
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert results() == whole
+
+
 @pytest.mark.parametrize("name", ["quality classifier", "line dedup", "minhash near-dedup", "benchmark decontamination", "byte-level bpe"])
 def test_names(name):
     assert name in dict(corpus_pipeline.STAGES)

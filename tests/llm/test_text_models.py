@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import math
+import random
 
 import pytest
 from compare import differences, duck
 
 from docspark.llm import queries, url_filter
-from docspark.llm.quality import classify, keep_good
+from docspark.llm.quality import classify, fit, keep_good, posteriors
 
 
 def test_table_pages(spark, sf):
@@ -26,6 +28,48 @@ def test_quality(spark):
     assert got.count() == docs.count()
 
 
+def test_posteriors_recomputed(spark):
+    """The posteriors and final odds, from the documents' own odds, by the formulas in plain Python."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice(["en", "fr", None]), rng.choice([None, *(rng.gauss(0, 2) for _ in range(5))])) for _ in range(400)] + [("lone", "en", 3.0)]
+    got = {(r.source, r.lang): (r.p_host, r.p_path, r.p_all) for r in posteriors(spark.createDataFrame(rows, "source string, lang string, q double")).collect()}
+    p = lambda q: 0.0 if q is None else 1 / (1 + math.exp(-q))
+    mean = sum(p(q) for _, _, q in rows) / len(rows)
+
+    def grouped(key):
+        out = {}
+        for s, g, q in rows:
+            out.setdefault(key(s, g), []).append(p(q))
+        return out
+
+    def weight(groups):
+        n, g = len(rows), len(groups)
+        between = sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in groups.values())
+        size = n - sum(len(v) ** 2 for v in groups.values()) / n
+        spread = max(0.0, (between - (g - 1) * mean * (1 - mean)) / size)
+        return min(1e4, max(10.0, mean * (1 - mean) / spread - 1 if spread > 1e-9 else 1e4))
+
+    hosts, paths = grouped(lambda s, g: s), grouped(lambda s, g: (s, g))
+    w, v = weight(hosts), weight(paths)
+    for (s, g), own in paths.items():
+        host = (sum(hosts[s]) + w * mean) / (len(hosts[s]) + w)
+        assert got[s, g] == pytest.approx((host, (sum(own) + v * host) / (len(own) + v), mean))
+    assert len(got) == len(paths)
+    # a sparse site is near the global prior
+    assert abs(got["lone", "en"][0] - mean) < abs(p(3.0) - mean) / 5
+
+
+def test_quality_long_text_and_ties(spark):
+    words = " ".join(f"word{k % 900} and so on." for k in range(60_000))
+    docs = spark.createDataFrame([(k, f"fine words number {k} of it", "s", "en") for k in range(40)] + [(100 + k, f"awful vile term{k % 2} filth rot", "s", "en") for k in range(40)] + [(500, words, "s", "en")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(100 + k, 1, 1) for k in range(40)], "doc_id long, quality int, toxic int")
+    # many terms tie in their odds: the order is fixed by the terms
+    a, b = (fit(d, labels).terms for d in (docs, docs.repartition(5)))
+    assert a == b and a
+    judged = {r.doc_id: r for r in classify(docs, labels).collect()}
+    assert not judged[105].kept and judged[5].p_toxic < 0.5 and len(judged) == 81
+
+
 def test_quality_odd_rows(spark):
     docs = spark.createDataFrame([(1, "some words here", "s", "en", 15), (1, "some words here", "s", "en", 15), (2, None, None, None, None), (None, "more words", None, "en", 1), (4, "  ", "s", "en", 2)], "doc_id long, text string, source string, lang string, n_chars long")
     labels = spark.createDataFrame([(1, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
