@@ -131,10 +131,11 @@ def incremental(before: DataFrame, after: DataFrame, key: str = "_id") -> DataFr
     return after.join(fresh, key, "left_semi")
 
 
-def _values(df: DataFrame, fields: list[str]) -> DataFrame:
-    """field, value, n: how often each field has each value (NULL among them), in one pass over the rows."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), _scalar(df, f).alias("value")) for f in fields])
-    return df.select(F.inline(cells)).groupBy("field", "value").agg(F.count("*").alias("n"))
+def _cells(df: DataFrame, fields: list[str], side: str) -> DataFrame:
+    """field, value (64 bits of it, or NULL), x and y (1 on the side that the row is of)."""
+    values = [(f, _scalar(df, f)) for f in fields]
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.when(v.isNotNull(), F.xxhash64(v)).alias("value")) for f, v in values])
+    return df.select(F.inline(cells)).select("field", "value", *[F.lit(int(side == c)).alias(c) for c in "xy"])
 
 
 def _scalar(df: DataFrame, field: str) -> Column:
@@ -147,10 +148,10 @@ def _scalar(df: DataFrame, field: str) -> Column:
 
 
 def drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """field, null_delta, cardinality_delta, distribution_delta: how far each field's values moved."""
+    """field, null_delta, cardinality_delta, distribution_delta: how far each field's values moved. Values are told apart by
+    64 bits, and counted on both sides in one pass."""
     fields = sorted({*before.columns, *after.columns})
-    a, b = (_values(d, fields).withColumnRenamed("n", n) for d, n in ((before, "x"), (after, "y")))
-    both = a.join(b, (a.field == b.field) & a.value.eqNullSafe(b.value), "full").select(F.coalesce(a.field, b.field).alias("field"), F.coalesce(a.value, b.value).alias("value"), F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+    both = _cells(before, fields, "x").union(_cells(after, fields, "y")).groupBy("field", "value").agg(*[F.sum(c).alias(c) for c in "xy"])
     some = F.col("value").isNotNull()
     sums = both.groupBy("field").agg(*[F.coalesce(F.sum(F.when(some, F.col(c))), F.lit(0)).alias(f"{c}t") for c in "xy"], *[F.coalesce(F.sum(F.when(~some, F.col(c))), F.lit(0)).alias(f"{c}n") for c in "xy"], *[F.count(F.when(some & (F.col(c) > 0), 1)).alias(f"{c}c") for c in "xy"])
     share = lambda c: F.when(F.col(f"{c}t") > 0, F.col(c) / F.col(f"{c}t")).otherwise(0.0)
