@@ -4,8 +4,8 @@ The words (matches of the tokenizer's pattern) that a task meets for the first t
 inverted index maps the token that a pair makes to all places of such pairs in all words; the merges are applied in
 rank order, each to all its places, and a merge updates only the entries of the two neighbours that it touches. Since
 a word's merges depend on that word alone, each distinct word is replayed once by a worker, and the ids are those of
-one replay over the corpus; no text or word is shuffled. A worker keeps what it has met (KEPT pieces and words, and
-those of a chunk of CHUNK_CHARS characters; then the older half goes), so that the cost of a gigabyte falls as it goes on.
+one replay over the corpus; no text or word is shuffled. A worker keeps what it has met (`kept` pieces and words,
+and those of a chunk of CHARS_PER_KEPT times as many characters; then the older half goes), so that the cost of a gigabyte falls as it goes on.
 
 The ranks and the pattern are parameters. A null text counts as empty: no ids. Texts of any length are whole.
 Rows are independent, so ties, repeated rows and repeated ids change nothing.
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import uncollected
 
+#: Pieces and words that a worker keeps, about 230 bytes each, and characters of text for each of them that are encoded at once.
 KEPT = 700_000
-CHUNK_CHARS = 12_000_000
+CHARS_PER_KEPT = 16
 #: The pattern under which blanks bound pieces (fixed value: the split of the byte-level vocabularies).
 BLANK_BOUND = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -87,10 +88,10 @@ class MergeReplay:
         own = np.ones(n, bool)
         own[0] = own[ends] = False
         tok[own] = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
-        word_at = np.repeat(np.arange(len(words) + 1), np.append(sizes + 1, 1))  # of a position less 1
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word_at = np.repeat(np.arange(len(words) + 1, dtype=np.int32), np.append(sizes + 1, 1))  # of a position less 1
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         # the inverted index: at[i] is the token that the pair beginning at i makes; a band of ranks is sorted out at a time
-        at = np.append(self._token(tok[:-1], tok[1:]), -1)
+        at = np.append(self._token(tok[:-1], tok[1:]), -1).astype(np.int32)
         for low in range(0, self.top, self.BAND):
             high = low + self.BAND
             places = np.flatnonzero((at >= low) & (at < high))
@@ -157,9 +158,10 @@ class Codec:
     after white space); such texts are matched whole. The table holds the ids of pieces and of the words in them.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = KEPT):
         import regex
 
+        self.kept = kept
         self.replay, self.find = MergeReplay(ranks), regex.compile(pattern).findall
         self.by_blanks, self.unbound = pattern == BLANK_BOUND, re.compile(r"\s \s|\s \Z").search
         self.kind = np.dtype("<u2" if self.replay.top <= 2**16 else "<u4")
@@ -186,7 +188,7 @@ class Codec:
 
     def __call__(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             # the older half goes
             for p in list(islice(self.known, len(self.known) // 2)):
                 del self.known[p]
@@ -209,27 +211,27 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def _codec(ranks_path: str, pattern: str) -> Codec:
+def _codec(ranks_path: str, pattern: str, kept: int) -> Codec:
     """One for all tasks of a worker, so that what it has met serves the next task, too."""
-    return Codec(load_ranks(ranks_path), pattern)
+    return Codec(load_ranks(ranks_path), pattern, kept)
 
 
-def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False, kept: int = KEPT) -> DataFrame:
     """docs' columns but text, with ids array<int>; or with digests of them (n_tokens, ids_sha256, decoded_sha256).
 
-    decoded_sha256 is of the bytes that the ids decode to.
+    decoded_sha256 is of the bytes that the ids decode to. kept bounds what a worker remembers, not the result.
     """
     own = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_tokens", "ids_sha256", "decoded_sha256")]
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own)
     docs = docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(ranks_path, pattern)
+        codec = _codec(ranks_path, pattern, kept)
         for batch in batches:
             texts, rows, at = batch["text"].tolist(), [], 0
             while at < len(texts):
                 end, chars = at, 0
-                while end < len(texts) and chars < CHUNK_CHARS:
+                while end < len(texts) and chars < CHARS_PER_KEPT * kept:
                     chars += len(texts[end])
                     end += 1
                 for ids in codec(texts[at:end]):

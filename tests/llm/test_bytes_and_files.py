@@ -89,11 +89,10 @@ def test_tables_that_forget(texts, monkeypatch):
     import tiktoken
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(byte_bpe, "KEPT", 50)
     monkeypatch.setattr(token_files, "KEPT_PIECES", 50)
     ranks = load_ranks(P.path("byte_bpe_50k.tiktoken"))
-    codec, library = byte_bpe.Codec(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    other = byte_bpe.Codec(ranks, r"\p{L}+|\P{L}+")
+    codec, library = byte_bpe.Codec(ranks, P.PATTERN, 50), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    other = byte_bpe.Codec(ranks, r"\p{L}+|\P{L}+", 50)
     pieces, whole = token_files.PieceTokenizer(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     by_letters = tiktoken.Encoding("letters", pat_str=r"\p{L}+|\P{L}+", mergeable_ranks=ranks, special_tokens={})
     for at in range(0, len(texts), 9):
