@@ -21,6 +21,8 @@ from docspark.llm.near_dup import near_copies
 from docspark.llm.quality import keep_good
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What a worker remembers of the words that it has encoded: less than op2's, since the other stages' memory stays with the executors.
+BPE_KEPT = 60_000
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -59,7 +61,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, ids_sha256, decoded_sha256 of each document."""
-    return encoded(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
+    return encoded(docs.select(COLUMNS), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True, kept=BPE_KEPT)
 
 
 STAGES: list[tuple[str, Stage]] = [
