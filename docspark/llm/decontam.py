@@ -3,13 +3,12 @@
 1. Benchmark items become windows of WINDOW consecutive words (a shorter item is one window).
 2. One pass over the documents counts how often each benchmark word occurs in them. A window with a word that
    occurs nowhere can't occur and is dropped; of each other window the ANCHORS rarest words are its anchors.
-3. The index holds the postings (word, document, position) of the anchor words. A posting minus the anchor's offset is
-   a place where the window may begin; a place that all anchors of the window name is a candidate of a phrase
-   (offset-adjusted intersection of the rarest lists). A place that all anchors name to within SLOP places is a
-   candidate of proximity.
-4. For the documents with a candidate, the index is widened to the postings of all words of the windows, and the lists of
-   all of a candidate's words are intersected in the same way: a phrase has each word of the window at its offset,
-   a near match has each word within SLOP places of its offset (so two words may be swapped, or one put in between).
+3. The index holds the postings (word, document, position) of the ANCHORS rarest words of the windows. Lists are
+   intersected from the rarest word on: a posting of it minus its offset is a place where the window may begin, and
+   stays a candidate if the next word has a posting at its own offset from there, to within 2 * SLOP places.
+4. For the documents that still have a candidate, the index is widened to the postings of all words of the windows, and
+   the lists of all of a candidate's words are intersected: a phrase has each word of the window at its offset, a near
+   match has each word within SLOP places of its offset (so two words may be swapped, or one put in between).
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case. A null text has no words; an item
 without words has no window; items with one id and equal windows count once; an item with a null id marks words
@@ -25,7 +24,7 @@ from pyspark.sql.window import Window
 from docspark.llm.common import small, with_row_key, written
 
 WINDOW = 10
-ANCHORS = 3
+ANCHORS = 2
 SLOP = 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,14 +47,14 @@ def _tokens(docs: DataFrame) -> DataFrame:
 
 
 def anchors(docs: DataFrame, wins: DataFrame, count: int = ANCHORS) -> DataFrame:
-    """win_id, word, off, k: the k <= count rarest words of each window that may occur, each at its first offset."""
+    """win_id, word, off, r, k: the k <= count rarest words of each window that may occur, the r-th, each at its first offset."""
     words = small(written(wins.select(F.explode("win").alias("word")).distinct(), "benchwords"))
     df = written(docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(words, "word").groupBy("word").agg(F.count("*").alias("df")), "frequency")
     placed = wins.select("win_id", F.posexplode("win").alias("off", "word")).groupBy("win_id", "word").agg(F.min("off").alias("off"))
     placed = placed.join(df, "word", "left")
     each = Window.partitionBy("win_id")
     ranked = placed.withColumns({"least": F.min(F.coalesce("df", F.lit(0))).over(each), "r": F.row_number().over(each.orderBy("df", "word"))})
-    return ranked.where(f"least > 0 AND r <= {count}").select("win_id", "word", "off", F.count("*").over(each).alias("k"))
+    return ranked.where(f"least > 0 AND r <= {count}").select("win_id", "word", "off", "r", F.count("*").over(each).alias("k"))
 
 
 def postings(docs: DataFrame, words: DataFrame, name: str = "postings") -> DataFrame:
@@ -64,14 +63,16 @@ def postings(docs: DataFrame, words: DataFrame, name: str = "postings") -> DataF
     return written(_tokens(docs).join(wanted, "word", "left_semi").distinct(), name)
 
 
-def _candidates(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
-    """_id, _h, win_id, start: places that all anchors of the window name to within slop."""
-    met = index.join(small(anchor), "word").select("_id", "_h", "win_id", "off", "k", (F.col("pos") - F.col("off")).alias("start"))
-    if slop:
-        met = met.select("_id", "_h", "win_id", "off", "k", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start")).distinct()
-    else:
-        met = met.where("start >= 0")
-    return met.groupBy("_id", "_h", "win_id", "start").agg(F.count("*").alias("n"), F.first("k").alias("k")).where("n = k").select("_id", "_h", "win_id", "start")
+def candidates(index: DataFrame, anchor: DataFrame, slop: int) -> DataFrame:
+    """_id, _h, win_id, start: places by the rarest word of the window at which its other anchors stand to within 2 * slop."""
+    asked = ["_id", "_h", "win_id", "start", "k"]
+    found = index.join(small(anchor.where("r = 1")), "word").select("_id", "_h", "win_id", (F.col("pos") - F.col("off")).alias("start"), "k")
+    for r in range(2, ANCHORS + 1):
+        spots = F.explode(F.sequence(F.col("start") + F.col("off") - 2 * slop, F.col("start") + F.col("off") + 2 * slop)).alias("pos")
+        probes = found.where(f"k >= {r}").join(small(anchor.where(f"r = {r}").drop("k", "r")), "win_id").select(*asked, "word", spots)
+        met = probes.join(index, ["_id", "_h", "word", "pos"], "left_semi").select(asked)
+        found = met.distinct().union(found.where(f"k < {r}"))
+    return found.drop("k")
 
 
 def _confirmed(found: DataFrame, words: DataFrame, index: DataFrame, slop: int) -> DataFrame:
@@ -90,13 +91,13 @@ def matches(docs: DataFrame, wins: DataFrame, slop: int = SLOP) -> tuple[DataFra
     anchor = written(anchors(docs, wins), "anchors")
     words = wins.select("win_id", F.size("win").alias("len"), F.posexplode("win").alias("off", "word"))
     words = written(words.join(anchor.select("win_id").distinct(), "win_id", "left_semi"), "windowwords")
-    index = postings(docs, anchor)
-    exact = written(_candidates(index, anchor, 0), "candidates")
-    near = written(_candidates(index, anchor, slop), "nearcandidates")
-    keys = small(written(near.union(exact).select("_id", "_h").distinct(), "candidatekeys"))
+    found = written(candidates(postings(docs, anchor), anchor, slop), "candidates")
+    keys = small(written(found.select("_id", "_h").distinct(), "candidatekeys"))
     wide = postings(docs.join(keys, ["_id", "_h"], "left_semi"), words, "widepostings")
-    phrases = written(_confirmed(exact, words, wide, 0), "phrases")
-    open_ = near.join(phrases.select("_id", "_h", "win_id").distinct(), ["_id", "_h", "win_id"], "left_anti")
+    phrases = written(_confirmed(found.where("start >= 0"), words, wide, 0), "phrases")
+    open_ = found.join(phrases.select("_id", "_h", "win_id").distinct(), ["_id", "_h", "win_id"], "left_anti")
+    # the rarest word may stand beside its place, too
+    open_ = open_.select("_id", "_h", "win_id", F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start")).distinct()
     return phrases, written(_confirmed(open_, words, wide, slop).select("_id", "_h", "win_id").distinct(), "near")
 
 
