@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join (DataFrame operations only).
 
 A line is the sequence of its words, split at white space. Edits are counted in words: a line's neighbourhood is
-itself and the line without any one of its words, as hashed keys. Two lines within one edit share a key:
+itself and the line without any one of its words, as hashed keys. A key is the xor of one hash for each word and its
+place, so that the keys of a line follow from one another. Two lines within one edit share a key:
   - a word replaced: both without the word at that place, so the key holds the place too;
   - a word inserted: the shorter line is the longer one without that word.
 
@@ -9,8 +10,8 @@ itself and the line without any one of its words, as hashed keys. Two lines with
    (doc_id, text hash, line number).
 2. Two classes of near_words words or more within one edit agree in the first or the last half of the shorter
    one. Classes that share no half with another class have no partner, and emit nothing.
-3. The others emit their neighbourhoods. Grouped minima give each class the earliest class under each equal key
-   (never all pairs under a key); the pairs are verified word by word.
+3. The others emit their neighbourhoods. Keys of one class alone go; of the rest, grouped minima give each class the
+   earliest class under each equal key (never all pairs under a key); the pairs are verified word by word.
 4. A line is dropped if an equal line stands earlier, or a line within one edit does, dropped or not.
 
 Lines without words are never dropped, and those of under near_words words only if equal. Its default is 5: one edit in
@@ -28,16 +29,19 @@ from docspark.llm.common import small, with_row_key, written
 
 MIN_WORDS = 1
 NEAR_WORDS = 5
+#: Keys of a neighbourhood that are summed in one array.
+STRETCH = 32
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_id, _h, line (its number), t (its text)."""
-    return docs.select("_id", "_h", F.posexplode(F.split("text", "\n", -1)).alias("line", "t"))
+    """_id, _h, line (its number), t (its text, with spaces for other white space)."""
+    # one pass over a document, then splits at one character: cheaper than a split at \s+, and translate looks up each character
+    spaced = F.regexp_replace("text", r"[\t\x0B\f\r]", " ")
+    return docs.select("_id", "_h", F.posexplode(F.split(spaced, "\n", -1)).alias("line", "t"))
 
 
 def _words() -> Column:
-    # translate and a split at one character are cheaper than a split at \s+
-    return F.array_remove(F.split(F.translate("t", "\t\v\f\r", "    "), " "), "")
+    return F.array_remove(F.split("t", " "), "")
 
 
 def _halves(near_words: int) -> Column:
@@ -47,14 +51,24 @@ def _halves(near_words: int) -> Column:
     return F.expr(f"array_distinct(if(size(w) > {near_words}, array({own}, {shorter}), array({own})))")
 
 
-def _without(words: str, place: str) -> str:
-    return f"concat(slice({words}, 1, {place}), slice({words}, {place} + 2, size({words})))"
+def neighbourhood(w: str) -> str:
+    """SQL for an array of keys: that of the words in w, then that of w without its word at each place."""
+    own, moved = (f"transform({words}, (x, i) -> xxhash64(x, i))" for words in (w, f"slice({w}, 2, size({w}))"))
+    whole, later = (f"aggregate({keys}, 0L, (a, x) -> a ^ x)" for keys in (own, moved))
+    # from one place to the next, a word comes back at its own place, and the next one goes, which was a place earlier
+    steps = f"concat(array({whole}, {whole} ^ {later}), zip_with(slice({own}, 1, size({w}) - 1), {moved}, (x, y) -> x ^ y))"
+    # keys are running sums of steps: by stretches, since an array is copied for each value appended to it
+    parts = f"transform(array({steps}), d -> transform(sequence(0, int((size(d) - 1) / {STRETCH})), k -> slice(d, {STRETCH} * k + 1, {STRETCH})))[0]"
+    sums = f"aggregate(slice(c, 2, {STRETCH}), array(element_at(element_at(r, -1), -1) ^ c[0]), (s, x) -> concat(s, array(element_at(s, -1) ^ x)))"
+    return f"slice(flatten(aggregate({parts}, array(array(0L)), (r, c) -> concat(r, array({sums})))), 2, size({w}) + 1)"
 
 
 def line_keys(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """_id, _h, line, k1, k2, halves (null for lines too short to have a partner) of the lines of min_words or more
     words, as a written table."""
-    lines = _lines(docs).select("_id", "_h", "line", _words().alias("w")).where(f"size(w) >= {min_words}")
+    # a filter splits each line once more: not for lines of one word or more
+    least = "trim(t) <> ''" if min_words == 1 else F.size(_words()) >= min_words
+    lines = _lines(docs).where(least).select("_id", "_h", "line", _words().alias("w"))
     keys = lines.select("_id", "_h", "line", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(1), F.col("w")).alias("k2"), F.when(F.size("w") >= near_words, _halves(near_words)).alias("halves"))
     return written(keys, "linekeys")
 
@@ -72,21 +86,21 @@ def line_classes(docs: DataFrame, keys: DataFrame, near_words: int = NEAR_WORDS)
     # the words of an open class, from the line that is its first
     firsts = small(written(classes.where("open").select("first._id", "first._h", "first.line"), "firsts"))
     texts = _lines(docs).join(firsts, ["_id", "_h", "line"], "left_semi").dropDuplicates(["_id", "_h", "line"])
-    texts = texts.select(F.struct("_id", "_h", "line").alias("first"), _words().alias("w")).where(f"size(w) >= {near_words}")
-    texts = written(texts, "openlines")
-
-    # the neighbourhoods: only their grouped minima are shuffled
-    spots = F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("spot")
-    cut = texts.select("first", "w", spots).select("first", "spot", F.expr(f"xxhash64({_without('w', 'spot')}) AS v"))
-    whole = small(written(texts.select("first", F.xxhash64("w").alias("v")), "wholes"))
+    texts = texts.select(F.struct("_id", "_h", "line").alias("first"), F.xxhash64(_words()).alias("k1"), _words().alias("w")).where(f"size(w) >= {near_words}")
+    texts = written(texts.withColumn("near", F.expr(neighbourhood("w"))), "openlines")
+
+    # the neighbourhoods: only keys and numbers are shuffled; place 0 is the whole line, place p the line without word p
+    shared = texts.select("k1", F.explode("near").alias("v")).groupBy("v").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("v")
+    shared = small(written(shared, "variants"))
+    met = written(texts.select("first", F.posexplode("near").alias("place", "v")).join(shared, "v", "left_semi").select("first", "place", "v"), "met")
+    cut, whole = met.where("place > 0"), met.where("place = 0").select("first", "v")
     lowest = F.min("first").alias("other")
-    met = small(written(cut.groupBy("v", "spot").agg(lowest, F.count("*").alias("n")).where("n > 1").drop("n"), "variants"))
-    replaced = cut.join(met, ["v", "spot"]).select("first", "other")
-    inserted = written(cut.join(whole.select("v", F.col("first").alias("other")), "v").select("first", "other", "v"), "inserted")
-    longer = whole.join(inserted.groupBy("v").agg(lowest), "v").select("first", "other")
-    pairs = replaced.union(inserted.select("first", "other")).union(longer).where("other < first").distinct()
+    replaced = cut.join(small(written(cut.groupBy("v", "place").agg(lowest), "lowest")), ["v", "place"]).select("first", "other")
+    inserted = cut.join(small(whole.withColumnRenamed("first", "other")), "v").select("first", "other")
+    longer = small(whole).join(cut.groupBy("v").agg(lowest), "v").select("first", "other")
+    pairs = small(written(replaced.union(inserted).union(longer).where("other < first").distinct(), "nearpairs"))
     theirs = texts.select(F.col("first").alias("other"), F.col("w").alias("w2"))
-    true = pairs.join(texts, "first").join(theirs, "other").where(within_one_edit("w", "w2"))
+    true = texts.select("first", "w").join(pairs, "first").join(theirs, "other").where(within_one_edit("w", "w2"))
     partners = written(true.groupBy("first").agg(F.min("other").alias("partner")), "partners")
     return classes.join(partners, "first", "left").where("n > 1 OR partner IS NOT NULL").select("k1", "k2", "first", "partner")
 
