@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from docspark.sources.tables import shared_dir, written
 
-__all__ = ["new_folder", "shared_dir", "small", "uncollected", "with_row_key", "written"]
+__all__ = ["new_folder", "shared_dir", "small", "small_batches", "uncollected", "with_row_key", "written"]
 #: Size on disk up to which a written table is broadcast (a few times that in memory); beyond it, joins shuffle.
 BROADCAST_BYTES = 12 * 2**20
+#: Of an Arrow batch within small_batches.
+BATCH_BYTES = 4 * 2**20
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -28,6 +30,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("shuffle_merge")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in batches of BATCH_BYTES while it lasts (Spark: 64 MB). An executor's buffers for them lie outside
+    its heap and stay with it, and so does what its workers took for them. The limit counts when a plan runs, so tables
+    are to be written within."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 @contextmanager
 def uncollected() -> Iterator[None]:
     """Pauses the cycle collector while a great many plain lists and strings are made, which it would walk again and again."""

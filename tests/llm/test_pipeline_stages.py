@@ -54,3 +54,27 @@ def test_long_texts_and_no_broadcasts(spark, sf, monkeypatch):
 @pytest.mark.parametrize("name", ["quality classifier", "line dedup", "minhash near-dedup", "benchmark decontamination", "byte-level bpe"])
 def test_names(name):
     assert name in dict(corpus_pipeline.STAGES)
+
+
+@pytest.mark.parametrize("at", [0, 2, 4])
+def test_small_batches(spark, sf, monkeypatch, at):
+    """Each stage that runs Python takes texts in batches of BATCH_BYTES and a text at most, and leaves the session as it was."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(concat('w', id, ' and more '), 800) AS text", "'en' AS lang", "'s' AS source", "10000L AS n_chars")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, taken = spark.conf.get(key), []
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch[["text"]].head(1).assign(text=int(batch["text"].str.len().sum())).rename(columns={"text": "n"})
+
+    def spied(df, function, schema, *rest, plain=type(docs).mapInPandas):
+        if "text" in df.columns:
+            taken.append(max((r.n for r in plain(df, sizes, "n long").collect()), default=0))
+        return plain(df, function, schema, *rest)
+
+    monkeypatch.setattr(type(docs), "mapInPandas", spied)
+    out = corpus_pipeline.STAGES[at][1](spark, docs, sf)
+    assert taken and max(taken) <= common.BATCH_BYTES + 20_000
+    # nothing is left to run in Python after the stage, without the limit
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(key) == before
